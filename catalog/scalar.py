@@ -145,26 +145,27 @@ def pad(spark, sf):
 
 
 @catalog.add("f12_one_hot", f"""
-WITH {SEQS_CTE}, hot AS (SELECT seq_id, i, array_to_string([CASE WHEN j = instr('{VOCAB}', substr(seq, i, 1)) - 1
-    THEN 1 ELSE 0 END for j in range(15)], '') AS residue
-  FROM seqs, unnest(range(1, length(seq) + 1)) AS t(i))
-SELECT residue, count(*) AS n, sum(i) AS sum_position FROM hot GROUP BY residue
+WITH {SEQS_CTE}, codes AS (SELECT instr('{VOCAB}', c) - 1 AS code, count(*) AS n, sum(i) AS sum_position
+  FROM (SELECT generate_subscripts(string_split(seq, ''), 1) AS i, unnest(string_split(seq, '')) AS c FROM seqs
+        WHERE length(seq) > 0) GROUP BY 1)
+SELECT array_to_string([CASE WHEN j = code THEN 1 ELSE 0 END for j in range(15)], '') AS residue, n, sum_position
+FROM codes
 UNION ALL SELECT array_to_string([CASE WHEN j = label THEN 1 ELSE 0 END for j in range(10)], ''), count(*),
   sum(vec_id) FROM embeddings GROUP BY 1""")
 def one_hot(spark, sf):
     def flat(col):
         return F.array_join(F.transform(col, lambda x: x.cast("string")), "")
 
-    codes = S.one_hot_seq(S.encode_seq(F.col("seq")), len(VOCAB))
-    residues = sequences(spark, sf).select(F.posexplode(codes).alias("i", "hot"))
-    classes = table(spark, sf, "embeddings").select(
-        (F.col("vec_id") - 1).alias("i"), S.one_hot(F.col("label"), 10).alias("hot")
-    )
-    # Equal vectors are counted before the text form is built: a handful of groups, whatever the number of residues.
-    counted = residues.withColumn("i", F.col("i").cast("bigint")).unionByName(classes).groupBy("hot").agg(
+    # Equal codes are counted before the vectors are built: a handful of groups, whatever the number of residues.
+    codes = sequences(spark, sf).select(F.posexplode(S.encode_seq(F.col("seq"))).alias("i", "code"))
+    residues = codes.groupBy("code").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("i") + 1).cast("decimal(38,0)").alias("sum_position")
     )
-    return counted.select(flat(F.col("hot")).alias("residue"), "n", "sum_position")
+    classes = table(spark, sf, "embeddings").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("vec_id").cast("decimal(38,0)").alias("sum_position")
+    )
+    hot = residues.select(flat(S.one_hot(F.col("code"), len(VOCAB))).alias("residue"), "n", "sum_position")
+    return hot.unionByName(classes.select(flat(S.one_hot(F.col("label"), 10)).alias("residue"), "n", "sum_position"))
 
 
 KMERS_CTE = f"""{SEQS_CTE}, kmers AS (SELECT seq_id, genome_id, label, substr(seq, i, 4) AS kmer

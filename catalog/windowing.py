@@ -195,15 +195,14 @@ def balanced_local(spark, sf):
 
 @catalog.add("j13_locate", f"""
 WITH {LENS_CTE}, o AS (SELECT seq_id, L, sum(L) OVER (ORDER BY seq_id) AS e FROM lens),
-q AS (SELECT o_orderkey, (o_orderkey * 7919) % (SELECT sum(L) FROM lens) AS at FROM orders)
-SELECT o_orderkey, seq_id, CAST(at - (e - L) AS BIGINT) AS inside FROM q JOIN o ON at >= e - L AND at < e""")
+q AS (SELECT o_orderkey, (o_orderkey * 7919) % (SELECT sum(L) FROM lens) AS pos FROM orders)
+SELECT o_orderkey, seq_id, CAST(pos - (e - L) AS BIGINT) AS inside FROM q JOIN o ON pos >= e - L AND pos < e""")
 def locate(spark, sf):
     from cladeflow.operators import joins
 
     rows = lengths(spark, sf).select("seq_id", "L")
     spans = ordering.cum_offsets(rows, "L", ordering.id_buckets("seq_id"), [F.col("seq_id")])
-    total = rows.agg(F.sum("L").alias("total"))
-    points = table(spark, sf, "orders").select("o_orderkey").crossJoin(F.broadcast(total))  # one row
-    points = points.select("o_orderkey", ((F.col("o_orderkey") * 7919) % F.col("total")).alias("at"))
+    total = rows.agg(F.sum("L")).scalar()
+    points = table(spark, sf, "orders").select("o_orderkey", ((F.col("o_orderkey") * 7919) % total).alias("at"))
     found = joins.locate(points, "at", spans, "start_offset", "end_offset", bin_size=4096)
     return found.select("o_orderkey", "seq_id", (F.col("at") - F.col("start_offset")).alias("inside"))

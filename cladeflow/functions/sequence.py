@@ -56,8 +56,9 @@ def one_hot(code: Column, n: int) -> Column:
 
 
 def one_hot_seq(codes: Column, n: int) -> Column:
-    """One 0/1 vector per residue code."""
-    return F.transform(codes, lambda c: one_hot(c, n))
+    """One 0/1 vector per residue code, looked up in the identity matrix."""
+    identity = F.array(*[F.array(*[F.lit(int(i == j)) for j in range(n)]) for i in range(n)])
+    return F.transform(codes, lambda c: F.get(identity, c.cast("int")))
 
 
 def kmers(seq: Column, k: int = 4) -> Column:

@@ -13,9 +13,8 @@ from cladeflow.operators import ordering, windows
 
 
 def scale_by_max(df: DataFrame, col: str, out: str) -> DataFrame:
-    """`col` divided by its maximum over the table (a single aggregated row joins every row)."""
-    top = df.agg(F.max(col).alias("_top"))
-    return df.crossJoin(F.broadcast(top)).withColumn(out, F.col(col) / F.col("_top")).drop("_top")
+    """`col` divided by its maximum over the table."""
+    return df.withColumn(out, F.col(col) / df.agg(F.max(col)).scalar())
 
 
 # -- sequences ---------------------------------------------------------------------------------------------------

@@ -173,8 +173,7 @@ def abs_delta(df: DataFrame, value: str, order: Sequence[Column], buckets: Seque
 def even_split(df: DataFrame, n: int, buckets: Sequence[Column], order: Sequence[Column]) -> DataFrame:
     """Contiguous split into n parts, 0-based; the first `rows % n` parts hold one row more."""
     ranked = global_rank(df, buckets, order)
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    rows = ranked.crossJoin(F.broadcast(total))  # a single row
+    rows = ranked.withColumn("_total", df.agg(F.count(F.lit(1))).scalar())
     small, extra = F.expr(f"_total div {n}"), F.col("_total") % n
     at = F.col("rank") - 1
     split = F.when(at < extra * (small + 1), F.floor(at / (small + 1))).otherwise(
@@ -232,7 +231,7 @@ def balanced_buckets(df: DataFrame, key: str, weight: str, n: int, mode: str = "
     """
     if mode == "serpentine":
         w = F.col(weight).cast("bigint")
-        levels = [-F.floor(F.log2(w + 1) * 64), *id_buckets(key)[:0]]
+        levels = [-F.floor(F.log2(w + 1) * 64), -w]
         ranked = global_rank(df, levels, [F.col(weight).desc(), F.col(key)])
         lap, at = F.floor((F.col("rank") - 1) / n), (F.col("rank") - 1) % n
         bucket = F.when(lap % 2 == 0, at).otherwise(n - 1 - at).cast("int")
@@ -266,5 +265,4 @@ def balanced_buckets(df: DataFrame, key: str, weight: str, n: int, mode: str = "
 def balance_report(df: DataFrame, weight: str, n: int) -> DataFrame:
     """Load per bucket, and the ratio of the greatest load to the mean one in `max_over_mean`."""
     loads = df.groupBy("bucket").agg(F.sum(weight).cast("bigint").alias("load"), F.count(F.lit(1)).alias("n_items"))
-    summary = loads.agg((F.max("load") / (F.sum("load") / n)).alias("max_over_mean"))
-    return loads.crossJoin(F.broadcast(summary))  # n buckets times one row
+    return loads.withColumn("max_over_mean", loads.agg(F.max("load") / (F.sum("load") / n)).scalar())
