@@ -211,13 +211,13 @@ def distances(spark, sf_dir) -> DataFrame:
 # -- tree --------------------------------------------------------------------------------------------------------
 
 EDGES_CTE = """edges AS (
-  SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS child, 'root' AS parent, 1.0 + r_regionkey AS length, false AS is_tip
+  SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS child, 'root' AS parent, CAST(1 + r_regionkey AS DOUBLE) AS length, false AS is_tip
   FROM region
   UNION ALL
-  SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'r' || CAST(n_regionkey AS VARCHAR), 1.0 + n_nationkey % 4, false
+  SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'r' || CAST(n_regionkey AS VARCHAR), CAST(1 + n_nationkey % 4 AS DOUBLE), false
   FROM nation
   UNION ALL
-  SELECT 'c' || CAST(c_custkey AS VARCHAR), 'n' || CAST(c_nationkey AS VARCHAR), abs(c_acctbal) / 1000.0, true
+  SELECT 'c' || CAST(c_custkey AS VARCHAR), 'n' || CAST(c_nationkey AS VARCHAR), abs(c_acctbal) / CAST(1000 AS DOUBLE), true
   FROM customer)"""
 CLOSURE_CTE = EDGES_CTE + """,
 up AS (
