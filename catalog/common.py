@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cladeflow import spread
+
 # The letter map that turns prose into DNA.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TO_DNA = "ACGTACGTACGTACGTACGTACGTAN"
@@ -42,13 +44,18 @@ DNA_SQL = f"translate({LETTERS_SQL}, '{LETTERS}', '{TO_DNA}')"
 SEQS_CTE = f"seqs AS (SELECT doc_id AS seq_id, source AS genome_id, lang AS label, {DNA_SQL} AS seq FROM documents)"
 
 
+def documents(spark, sf_dir) -> DataFrame:
+    """The texts, over all cores also when they lie in one small file."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+
+
 def letters():
     return F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
 
 
 def sequences(spark, sf_dir) -> DataFrame:
     """`seq_id, genome_id, label, seq` out of the documents."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("seq_id"),
         F.col("source").alias("genome_id"),
         F.col("lang").alias("label"),

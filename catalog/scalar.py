@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    CHUNKS_CTE, DIST_CTE, DNA_SQL, EDGES_CTE, LETTERS_SQL, LINEAGE_CTE, META_CTE, REPS_CTE, SEQS_CTE, Catalog, chunks,
-    distances, letters, lineage, members, metadata, sequences, table,
+    CHUNKS_CTE, DIST_CTE, DNA_SQL, EDGES_CTE, LETTERS, LETTERS_SQL, LINEAGE_CTE, META_CTE, REPS_CTE, SEQS_CTE, TO_DNA,
+    Catalog, chunks, distances, documents, letters, lineage, members, metadata, sequences, table,
 )
 from cladeflow.functions import names, sequence as S, vectors as V
 from cladeflow.operators import aggregate, filters
@@ -114,7 +114,7 @@ def encode(spark, sf):
     def joined(col):
         return F.array_join(F.transform(col, lambda c: c.cast("string")), ",")
 
-    return table(spark, sf, "documents").where(F.length(letters()) > 0).select(
+    return documents(spark, sf).where(F.length(letters()) > 0).select(
         "doc_id",
         joined(S.encode_seq(letters())).alias("dna_codes"),
         joined(S.encode_seq(letters(), "protein")).alias("aa_codes"),
@@ -124,7 +124,7 @@ def encode(spark, sf):
 @catalog.add("f09_decode", f"""
 SELECT doc_id, regexp_replace({LETTERS_SQL}, '[^{VOCAB}]', 'N', 'g') AS decoded FROM documents""")
 def decode(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.decode_seq(S.encode_seq(letters())).alias("decoded"))
+    return documents(spark, sf).select("doc_id", S.decode_seq(S.encode_seq(letters())).alias("decoded"))
 
 
 @catalog.add("f10_revcomp", f"""
@@ -132,9 +132,10 @@ SELECT doc_id, reverse(translate({DNA_SQL}, '{VOCAB}', '{COMPLEMENT}')) AS dna_r
   reverse(translate(regexp_replace({LETTERS_SQL}, '[^{VOCAB}]', 'N', 'g'), '{VOCAB}', '{COMPLEMENT}')) AS iupac_rc
 FROM documents""")
 def revcomp(spark, sf):
-    docs = sequences(spark, sf).select(F.col("seq_id").alias("doc_id"), S.revcomp(F.col("seq")).alias("dna_rc"))
-    iupac = table(spark, sf, "documents").select("doc_id", S.revcomp(S.clean_dna(letters())).alias("iupac_rc"))
-    return docs.join(iupac, "doc_id")
+    dna = F.translate(letters(), LETTERS, TO_DNA)
+    return documents(spark, sf).select(
+        "doc_id", S.revcomp(dna).alias("dna_rc"), S.revcomp(S.clean_dna(letters())).alias("iupac_rc")
+    )
 
 
 @catalog.add("f11_pad", f"""
@@ -238,7 +239,7 @@ def proteins(spark, sf):
     kind = F.col("doc_id") % 4
     gaps = F.concat(F.lit("XXBZ"), F.expr("repeat('-', cast(doc_id % 40 as int))"))
     tail = F.when(kind == 0, "*").when(kind == 1, "").when(kind == 2, "**").otherwise(gaps)
-    docs = table(spark, sf, "documents").where(F.length(letters()) > 0)
+    docs = documents(spark, sf).where(F.length(letters()) > 0)
     return docs.select("doc_id", F.concat(letters(), tail).alias("seq"))
 
 

@@ -41,7 +41,7 @@ WITH {ORF_CTE} SELECT orf, n_hits, round(bitscore, 4) AS bitscore, domain, phylu
 def stream_hits_lca(spark, sf):
     out = scratch(spark, "hits")
     stream = replay(spark, hits(spark, sf), 4)
-    incremental.stream_hits(stream, out, scratch(spark, "query"), ["orf"], "subject", "bitscore").awaitTermination()
+    incremental.stream_hits(stream, out, scratch(spark, "query"), ["orf"], "bitscore").awaitTermination()
     found = incremental.streamed_lca(spark, out, subject_taxonomy(spark, sf), ["orf"], "subject", "bitscore", RANKS)
     return found.withColumn("bitscore", F.round("bitscore", 4))
 

@@ -181,7 +181,8 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, share: float
         F.when(small, F.lit(float("inf"))).otherwise(F.col("_q")[1]).alias("_high"),
     )
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    placed = ordering.salted_join(counted, bracket, list(keys), spread=[value])
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    placed = ordering.salted_join(counted, bracket.join(sizes, list(keys)), list(keys), spread=[value])
     below = placed.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(F.col(value) < F.col("_low"), F.col("_c"))), F.lit(0)).alias("_below")
     )

@@ -237,7 +237,7 @@ def average_ranks(df: DataFrame, value: str, out: str, n_buckets: int = 1024) ->
     width = F.nullif(bounds.getField("hi") - bounds.getField("lo"), F.lit(0.0))
     at = F.coalesce(F.floor((F.col(value) - bounds.getField("lo")) * n_buckets / width), F.lit(0))
     ranked = ordering.prefix(counts, [], [at], [F.col(value)], sums={"_cum": F.col("_n")})
-    ranked = ranked.select(value, (F.col("_cum") - (F.col("_n") - 1) / 2).alias(out))
+    ranked = ranked.select(value, (F.col("_cum") - (F.col("_n") - 1) / 2).alias(out), F.col("_n").alias("_rows"))
     return ordering.salted_join(df, ranked, [value], spread=[c for c in df.columns if c != value])
 
 

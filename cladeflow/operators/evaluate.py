@@ -120,7 +120,9 @@ def _score_counts(df: DataFrame, label: str, score: str, keys: Sequence[str]) ->
         sums={"tp": F.col("_tp"), "fp": F.col("_fp")},
     )
     if keys:
-        totals = by_score.groupBy(*keys).agg(F.sum("_tp").alias("_P"), F.sum("_fp").alias("_N"))
+        totals = by_score.groupBy(*keys).agg(
+            F.sum("_tp").alias("_P"), F.sum("_fp").alias("_N"), F.count(F.lit(1)).alias("_rows")
+        )
         return ordering.salted_join(running, totals, list(keys), spread=[score])
     return running.withColumn("_P", by_score.agg(F.sum("_tp")).scalar()).withColumn("_N", by_score.agg(F.sum("_fp")).scalar())
 

@@ -90,10 +90,16 @@ def bfs_levels(edges: DataFrame, comps: DataFrame, max_rounds: int = MAX_ROUNDS)
     raise RuntimeError(f"breadth-first search did not end in {max_rounds} levels")
 
 
+def _walk_buckets():
+    """The order (component, level, id) from blocks of components down to blocks of ids."""
+    block = ordering.BLOCK_BITS
+    return [F.shiftright("component", block), F.col("component"), F.col("level"), F.shiftright("id", block)]
+
+
 def bfs_order(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Breadth-first position of every node over all components, in the order (component, level, id): `…, position`."""
     levels = bfs_levels(edges, components(edges, nodes))
-    buckets = [F.col("component"), F.col("level"), F.shiftright(F.col("id"), ordering.BLOCK_BITS)]
+    buckets = _walk_buckets()
     ranked = ordering.global_rank(levels, buckets, [F.col("id")])
     return ranked.withColumn("position", F.col("rank") - 1).drop("rank")
 
@@ -109,7 +115,7 @@ def partition_graph(edges: DataFrame, sizes: DataFrame, n: int) -> tuple[DataFra
         edges = edges.join(weighed.select(F.col("id").alias(end)), end, "left_semi")
     levels = bfs_levels(edges.select("src", "dst"), components(edges.select("src", "dst"), weighed))
     rows = levels.join(weighed, "id")
-    buckets = [F.col("component"), F.col("level"), F.shiftright(F.col("id"), ordering.BLOCK_BITS)]
+    buckets = _walk_buckets()
     placed = ordering.prefix(rows, [], buckets, [F.col("id")], sums={"_cum": F.col("size")})
     mean = weighed.agg(F.sum("size") / n).scalar()
     parts = placed.withColumn("part", F.least(F.floor(F.col("_cum") / mean), F.lit(n - 1)).cast("int"))
@@ -148,5 +154,7 @@ def edge_pairs(edges: DataFrame, windows: DataFrame, n: int, seed: int, replace:
     shuffled = ordering.global_rank(shuffled, ordering.hash_buckets(F.col("_digest")), [F.col("_digest"), F.col("window_id")], ["label"])
     shuffled = shuffled.select("label", "window_id", (F.col("rank") - 1).alias("_slot"))
     counts = windows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    slotted = ordering.salted_join(uses, counts, ["label"], spread=["pair"]).withColumn("_slot", (F.col("rank") - 1) % F.col("_n"))
+    used = uses.groupBy("label").agg(F.count(F.lit(1)).alias("_rows"))
+    slotted = ordering.salted_join(uses, counts.join(used, "label"), ["label"], spread=["pair"])
+    slotted = slotted.withColumn("_slot", (F.col("rank") - 1) % F.col("_n"))
     return slotted.join(shuffled, ["label", "_slot"]).select("pair", "side", "label", "window_id", "p")

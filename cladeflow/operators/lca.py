@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cladeflow.operators import ordering
 
@@ -14,20 +14,40 @@ def join_hits(hits: DataFrame, tax: DataFrame, subject: str) -> DataFrame:
     return hits.join(tax, subject)
 
 
-def hits_lca(hits: DataFrame, tax: DataFrame, key: Sequence[str], subject: str, score: str, ranks: Sequence[str], frac: float = 0.9) -> DataFrame:
+def near_best(hits: DataFrame, key: Sequence[str], score: str, frac: float, hot_rows: int = ordering.HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Hits of at least `frac` of the best of their ORF, as (ordinary ORFs, ORFs with very many hits).
+
+    An ordinary ORF is looked at whole, in one shuffle. Of the others, few by their size, the best scores are aggregated
+    first and travel to the hits.
+    """
+    stats = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), F.max(score).alias("_best"))
+    cold, _ = ordering.split_hot(hits, key, stats, hot_rows=hot_rows)
+    cold = cold.withColumn("_best", F.max(score).over(Window.partitionBy(*key)))
+    best = stats.where(F.col("_rows") > hot_rows).drop("_rows")
+    hot = hits.join(F.broadcast(best), list(key))  # fewer than all hits / hot_rows
+    return tuple(part.where(F.col(score) >= F.lit(frac) * F.col("_best")).drop("_best") for part in (cold, hot))
+
+
+def hits_lca(
+    hits: DataFrame,
+    tax: DataFrame,
+    key: Sequence[str],
+    subject: str,
+    score: str,
+    ranks: Sequence[str],
+    frac: float = 0.9,
+    hot_rows: int = ordering.HOT_ROWS,
+) -> DataFrame:
     """Per ORF, the ranks on which all near-best hits agree, and their mean score.
 
-    A hit counts when its score is at least `frac` of the best. Best scores are aggregated first and dealt back in
-    salted copies, so an ORF with very many hits is neither sorted nor held in one task.
+    A hit counts when its score is at least `frac` of the best.
     """
-    best = hits.groupBy(*key).agg(F.max(score).alias("_best"))
-    near = ordering.salted_join(hits, best, list(key), spread=[subject, score])
-    near = near.where(F.col(score) >= F.lit(frac) * F.col("_best")).drop("_best")
-    rows = join_hits(near, tax, subject)
-    agreed = [
-        F.when((F.min(r) == F.max(r)) & (F.count(r) == F.count(F.lit(1))), F.min(r)).alias(r) for r in ranks
+    agreed = [F.when((F.min(r) == F.max(r)) & (F.count(r) == F.count(F.lit(1))), F.min(r)).alias(r) for r in ranks]
+    parts = [
+        join_hits(near, tax, subject).groupBy(*key).agg(F.count(F.lit(1)).alias("n_hits"), F.avg(score).alias(score), *agreed)
+        for near in near_best(hits, key, score, frac, hot_rows)
     ]
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n_hits"), F.avg(score).alias(score), *agreed)
+    return parts[0].unionByName(parts[1])
 
 
 def aggregate_orfs(orfs: DataFrame, key: Sequence[str], score: str, ranks: Sequence[str], cutoff: float = 0.5) -> DataFrame:
@@ -39,9 +59,11 @@ def aggregate_orfs(orfs: DataFrame, key: Sequence[str], score: str, ranks: Seque
     long = orfs.select(*key, score, F.explode(pairs).alias("_p")).select(*key, score, "_p.*")
     # NULL taxa are kept as a group of their own: the total of a rank is then the sum over its groups.
     by_taxon = long.groupBy(*key, "rank", "taxon").agg(F.sum(score).alias("_score"))
-    totals = orfs.groupBy(*key).agg(F.sum(score).alias("_total"))
-    held = by_taxon.join(totals, list(key))
-    wins = F.col("taxon").isNotNull() & (F.col("_score") >= F.lit(cutoff) * F.col("_total"))
-    order = F.struct(-F.col("_score"), F.col("taxon"))
-    picks = [F.min_by(F.when(wins & (F.col("rank") == r), F.col("taxon")), F.when(wins & (F.col("rank") == r), order)).alias(r) for r in ranks]
-    return held.groupBy(*key).agg(*picks)
+    picks = []
+    for r in ranks:
+        here = F.col("rank") == r
+        named = here & F.col("taxon").isNotNull()
+        order = F.when(named, F.struct(-F.col("_score"), F.col("taxon")))
+        enough = F.max(F.when(named, F.col("_score"))) >= F.lit(cutoff) * F.sum(F.when(here, F.col("_score")))
+        picks.append(F.when(enough, F.min_by("taxon", order)).alias(r))
+    return by_taxon.groupBy(*key).agg(*picks)

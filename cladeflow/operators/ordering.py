@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK_BITS = 16
-SALTS = 32
+HOT_ROWS = 2_000_000
+SALTS = 64
 
 
 def id_buckets(col: str | Column, bits: int = BLOCK_BITS) -> list[Column]:
@@ -44,11 +45,34 @@ def order_digest(seed: int, *cols: str | Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join rows to a table with one row per key, dealing the rows of each key over `salts` tasks."""
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+def hot_keys(counts: DataFrame, keys: Sequence[str], rows: str = "_rows", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than `hot_rows` rows out of a table of row counts.
+
+    There are fewer of them than all rows divided by `hot_rows`, which bounds what is broadcast.
+    """
+    return counts.where(F.col(rows) > hot_rows).select(*keys)
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], counts: DataFrame, rows: str = "_rows", hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows of the other keys, rows of the hot keys). A group of the first fits a task; one of the second may not."""
+    hot = F.broadcast(hot_keys(counts, keys, rows, hot_rows))
+    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str], rows: str = "_rows", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Inner join of rows to a table with one row per key and its row count `rows`.
+
+    The rows of a hot key are dealt over `SALTS` tasks by a hash of the `spread` columns, and only the rows of the right
+    side that belong to hot keys are copied. The count is dropped.
+    """
+    hot = F.broadcast(hot_keys(right, keys, rows, hot_rows).withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(0).cast("int")
+    salted = left.join(hot, list(keys), "left").withColumn("_salt", salt).drop("_hot")
+    last = F.when(F.col(rows) > hot_rows, SALTS - 1).otherwise(0)
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop(rows)
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
 def _carry(totals: DataFrame, keys: list[str], levels: list[str], sums: list[str], lasts: list[str]) -> DataFrame:
@@ -77,6 +101,14 @@ def _carry(totals: DataFrame, keys: list[str], levels: list[str], sums: list[str
     )
 
 
+def with_buckets(df: DataFrame, buckets: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    """Bucket columns made once, for several running values over the same order: they then share one shuffle."""
+    levels = [f"_bucket{i}" for i in range(len(buckets))]
+    for name, bucket in zip(levels, buckets):
+        df = df.withColumn(name, bucket)
+    return df, levels
+
+
 def prefix(
     df: DataFrame,
     keys: Sequence[str],
@@ -91,21 +123,32 @@ def prefix(
     `inclusive=False` leaves the current row out, which turns a running last value into a lag. Bucket columns must be
     monotone in `order` and, like the keys, not NULL.
     """
-    sums, lasts = dict(sums or {}), dict(lasts or {})
-    levels = [f"_bucket{i}" for i in range(len(buckets))]
-    rows = df
-    for name, bucket in zip(levels, buckets):
-        rows = rows.withColumn(name, bucket)
+    rows, levels = with_buckets(df, buckets)
+    return prefix_over(rows, keys, levels, order, sums, lasts, inclusive).drop(*levels)
+
+
+def prefix_over(
+    df: DataFrame,
+    keys: Sequence[str],
+    levels: Sequence[str],
+    order: Sequence[Column],
+    sums: Mapping[str, Column] | None = None,
+    lasts: Mapping[str, Column] | None = None,
+    inclusive: bool = True,
+) -> DataFrame:
+    """`prefix` over bucket columns that `with_buckets` has made; they stay in the result."""
+    sums, lasts, levels = dict(sums or {}), dict(lasts or {}), list(levels)
     place = [*keys, *levels]
-    ordering = F.struct(*[_ascending(c, f"o{i}") for i, c in enumerate(order)]) if lasts else None
-    totals = rows.groupBy(*place).agg(
+    # Running last values need plain ascending columns: a struct of them finds the last row of a bucket.
+    at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]) if lasts else None
+    totals = df.groupBy(*place).agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_c{n}") for n, c in sums.items()],
-        *[F.max_by(c, F.when(c.isNotNull(), ordering)).alias(f"_c{n}") for n, c in lasts.items()],
+        *[F.max_by(c, F.when(c.isNotNull(), at)).alias(f"_c{n}") for n, c in lasts.items()],
     )
     carry = _carry(totals, list(keys), levels, [f"_c{n}" for n in sums], [f"_c{n}" for n in lasts])
     local = Window.partitionBy(*place).orderBy(*order)
     local = local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    running = rows.select(
+    running = df.select(
         "*",
         *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"_l{n}") for n, c in sums.items()],
         *[F.last(c, ignorenulls=True).over(local).alias(f"_l{n}") for n, c in lasts.items()],
@@ -118,11 +161,6 @@ def prefix(
     )
 
 
-def _ascending(col: Column, name: str) -> Column:
-    """Sort expressions cannot sit in a struct; running last values need plain ascending columns."""
-    return col.alias(name)
-
-
 def global_rank(df: DataFrame, buckets: Sequence[Column], order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
     """1-based position in the given order, over the table or per key."""
     return prefix(df, keys, buckets, order, sums={"rank": F.lit(1)})
@@ -136,9 +174,10 @@ def cum_offsets(df: DataFrame, size: str, buckets: Sequence[Column], order: Sequ
 
 def islands(df: DataFrame, value: str, order: Sequence[Column], buckets: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
     """Number the runs of equal `value` in order, from 1."""
-    lagged = prefix(df, keys, buckets, order, lasts={"_previous": F.col(value)}, inclusive=False)
+    rows, levels = with_buckets(df, buckets)
+    lagged = prefix_over(rows, keys, levels, order, lasts={"_previous": F.col(value)}, inclusive=False)
     change = F.when(F.col("_previous").eqNullSafe(F.col(value)), 0).otherwise(1)
-    return prefix(lagged, keys, buckets, order, sums={"run": change}).drop("_previous")
+    return prefix_over(lagged, keys, levels, order, sums={"run": change}).drop("_previous", *levels)
 
 
 def running_mean(df: DataFrame, value: str, order: Sequence[Column], buckets: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
@@ -231,7 +270,10 @@ def balanced_buckets(df: DataFrame, key: str, weight: str, n: int, mode: str = "
     """
     if mode == "serpentine":
         w = F.col(weight).cast("bigint")
-        levels = [-F.floor(F.log2(w + 1) * 64), -w]
+        # Many items of one weight are cut further, by blocks of ids or by the leading characters of a name.
+        is_text = dict(df.dtypes)[key] == "string"
+        block = F.substring(key, 1, 8) if is_text else F.shiftright(key, BLOCK_BITS)
+        levels = [-F.floor(F.log2(w + 1) * 64), -w, block]
         ranked = global_rank(df, levels, [F.col(weight).desc(), F.col(key)])
         lap, at = F.floor((F.col("rank") - 1) / n), (F.col("rank") - 1) % n
         bucket = F.when(lap % 2 == 0, at).otherwise(n - 1 - at).cast("int")

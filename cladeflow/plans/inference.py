@@ -16,22 +16,30 @@ def score_windows(
     """Class vectors of windows from a user model.
 
     `load_model` runs once per worker and returns a function from an integer matrix (windows × `width` residue codes) to
-    a matrix of class values (windows × `n_classes`). Windows travel to it as Arrow batches of codes.
+    a matrix of class values (windows × `n_classes`). Windows travel as text in Arrow batches; one table lookup per batch
+    turns their bytes into codes.
     """
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import ArrayType, DoubleType
 
+    vocab, pad = S.DNA_VOCAB, S.PAD
+
     def make():
+        import numpy as np
+
         model = load_model()
+        codes = np.full(256, vocab.index(pad), dtype=np.int32)
+        for code, letter in enumerate(vocab):
+            codes[ord(letter)] = codes[ord(letter.lower())] = code
 
-        def predict(codes):
-            return model(codes)
+        def predict(texts):
+            residues = np.frombuffer("".join(texts).encode("ascii"), dtype=np.uint8)
+            return np.asarray(model(codes[residues].reshape(len(texts), width)), dtype=np.float64)
 
         return predict
 
-    score = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch, input_tensor_shapes=[[width]])
-    codes = S.encode_seq(S.pad_seq(F.col(window), width)).cast("array<int>")
-    return df.withColumn("_codes", codes).withColumn(out, score("_codes")).drop("_codes")
+    score = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch)
+    return df.withColumn(out, score(S.pad_seq(F.col(window), width)))
 
 
 def infer_sequences(

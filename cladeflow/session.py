@@ -49,3 +49,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: truncates the plan and survives the loss of an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Deal rows over all cores when the scan has fewer partitions than there are cores; else leave them where they are.
+
+    For work that is heavy per row, such as cutting long sequences. A large table has far more splits than cores and is
+    not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *cols) if df.rdd.getNumPartitions() < cores else df

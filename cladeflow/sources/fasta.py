@@ -47,5 +47,8 @@ def write_fasta(df: DataFrame, path: str, header: Column, seq: str, width: int =
 
 
 def write_splits(df: DataFrame, path: str, bucket: str = "bucket") -> None:
-    """One folder of plain lists per bucket; the remaining single column holds the entries."""
-    df.repartition(bucket).write.partitionBy(bucket).text(path)
+    """One folder of plain lists per bucket; the remaining single column holds the entries.
+
+    Tasks take ranges of (bucket, entry): a bucket is written by as many tasks as its size asks for.
+    """
+    df.repartitionByRange(bucket, *[c for c in df.columns if c != bucket]).write.partitionBy(bucket).text(path)

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cladeflow.operators import lca, ordering
+from cladeflow.operators import lca
 from cladeflow.sources import fasta
 
 
@@ -40,21 +40,15 @@ def latest_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataF
     return rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("_v")).select(*keys, "_v.*")
 
 
-def near_best(hits: DataFrame, key: Sequence[str], subject: str, score: str, frac: float) -> DataFrame:
-    """Hits of at least `frac` of the best one of their ORF in this table.
+def stream_hits(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str], score: str, frac: float = 0.9) -> StreamingQuery:
+    """Keep, of every micro-batch of hits, those that may still decide the taxon of their ORF.
 
-    The best hit can only rise, so a hit dropped here can never count later.
+    The best hit of an ORF can only rise, so one that is not near the best of its own micro-batch can never count.
     """
-    best = hits.groupBy(*key).agg(F.max(score).alias("_best"))
-    near = ordering.salted_join(hits, best, list(key), spread=[subject, score])
-    return near.where(F.col(score) >= F.lit(frac) * F.col("_best")).drop("_best")
-
-
-def stream_hits(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str], subject: str, score: str, frac: float = 0.9) -> StreamingQuery:
-    """Keep, of every micro-batch of hits, those that may still decide the taxon of their ORF."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        near_best(batch, key, subject, score, frac).write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
+        ordinary, crowded = lca.near_best(batch, key, score, frac)
+        ordinary.unionByName(crowded).write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
