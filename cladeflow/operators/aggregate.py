@@ -197,7 +197,10 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, share: float
         F.max(F.when((first <= at[1]) & (at[1] <= last), F.col(value))).alias("_b"),
         F.first(F.col("_pos") - F.floor("_pos")).alias("_f"),
     )
-    return picked.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("median" if share == 0.5 else "quantile"))
+    # A bracket that missed its rank would leave a gap: that must not pass as a NULL.
+    missed = F.raise_error(F.lit("the quantile lies outside its bracket")).cast("double")
+    exact = F.coalesce(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"), missed)
+    return picked.select(*keys, exact.alias("median" if share == 0.5 else "quantile"))
 
 
 def median_outputs(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
