@@ -20,8 +20,8 @@ def parse_records(raw: DataFrame) -> DataFrame:
     rows = raw.select("path", text.alias("_text")).where(F.trim("_text") != "")
     return rows.select(
         "path",
-        F.substring_index(header, " ", 1).alias("seq_id"),
-        F.trim(F.expr("substr(substring_index(_text, '\n', 1), length(substring_index(substring_index(_text, '\n', 1), ' ', 1)) + 1)")).alias("description"),
+        F.regexp_extract(header, r"^(\S*)", 1).alias("seq_id"),
+        F.trim(F.regexp_extract(header, r"^\S*\s*(.*)$", 1)).alias("description"),
         F.regexp_replace(body, r"\s", "").alias("sequence"),
     ).withColumn("length", F.length("sequence"))
 
