@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.aggregating import VOTES_CTE, scored
 from catalog.common import LEVELS, TAXA_CTE, Catalog, class_taxa, table
 from catalog.windowing import LENS_CTE, lengths
+from cladeflow import cut_lineage
 from cladeflow.functions import vectors as V
 from cladeflow.operators import aggregate, evaluate
 
@@ -122,7 +123,7 @@ WITH {SCORES_CTE} SELECT level, round(score, 6) AS threshold, round(fp / N, 6) A
 UNION ALL SELECT level || ' auc', NULL, NULL, round(sum(dfp * (2 * tp - dtp)) / 2 / (any_value(P) * any_value(N)), 6)
 FROM cum GROUP BY level""")
 def roc_curve(spark, sf):
-    rows = scores(spark, sf)
+    rows = cut_lineage(scores(spark, sf))
     curve = evaluate.roc_curve(rows, "y", "score", ["level"])
     area = evaluate.roc_auc(rows, "y", "score", ["level"])
     points = curve.select("level", F.round("threshold", 6).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
@@ -135,7 +136,7 @@ WITH {SCORES_CTE} SELECT level, round(score, 6) AS threshold, round(tp / (tp + f
 UNION ALL SELECT level || ' aupr', NULL, NULL, round(sum(dtp * (tp / (tp + fp) + CASE WHEN tp + fp > dtp + dfp
   THEN (tp - dtp) / (tp + fp - dtp - dfp) ELSE 1 END)) / 2 / any_value(P), 6) FROM cum GROUP BY level""")
 def pr_curve(spark, sf):
-    rows = scores(spark, sf)
+    rows = cut_lineage(scores(spark, sf))
     curve = evaluate.pr_curve(rows, "y", "score", ["level"])
     area = evaluate.pr_auc(rows, "y", "score", ["level"])
     points = curve.select("level", F.round("threshold", 6).alias("threshold"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))

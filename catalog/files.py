@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.aggregating import MEANS_CTE, TOP_SQL, probability_columns, rolled
 from catalog.common import DIST_CTE, LINEAGE_CTE, META_CTE, SEQS_CTE, Catalog, distances, lineage, metadata, sequences, table
-from catalog.windowing import KMERS_CTE, LENS_CTE, lengths
+from catalog.windowing import KMERS_CTE, LENS_CTE, settled_lengths
 from cladeflow import scratch
 from cladeflow.functions import names
 from cladeflow.operators import aggregate, ordering, taxonomy
@@ -248,7 +248,7 @@ b AS (SELECT seq_id, L, CASE WHEN (k // 6) % 2 = 0 THEN k % 6 ELSE 5 - k % 6 END
 SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS n_files, CAST(sum(seq_id) AS BIGINT) AS id_sum FROM b GROUP BY bucket""")
 def write_splits(spark, sf):
     path = scratch(spark, "splits")
-    placed = ordering.balanced_buckets(lengths(spark, sf), "seq_id", "L", 6)
+    placed = ordering.balanced_buckets(settled_lengths(spark, sf), "seq_id", "L", 6)
     fasta.write_splits(placed.select("bucket", F.col("seq_id").cast("string").alias("value")), path)
     lists = spark.read.text(path)
     return lists.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.col("value").cast("bigint")).alias("id_sum"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import DNA_SQL, SEQS_CTE, Catalog, sequences, table
 from catalog.scalar import CANONICAL_CTE, KMERS_CTE
+from cladeflow import cut_lineage
 from cladeflow.functions import sequence as S
 from cladeflow.operators import aggregate, ordering, windows
 
@@ -19,9 +20,15 @@ def starts_sql(step, min_len):
 
 
 def lengths(spark, sf):
+    """Lengths of the sequences."""
     return sequences(spark, sf).select("seq_id", "genome_id", "label", F.length("seq").cast("bigint").alias("L"))
 
 
+def settled_lengths(spark, sf):
+    """The lengths written once, for operators that read their input several times: the texts are then read once."""
+    return cut_lineage(lengths(spark, sf))
+
+
 @catalog.add("c01_window_sequences", f"""
 WITH {SEQS_CTE} SELECT seq_id, genome_id, label, s AS start, least(s + 1024, length(seq)) AS "end",
   md5(substr(seq, CAST(s + 1 AS BIGINT), 1024)) AS digest FROM seqs, {starts_sql(128, 100)}""")
@@ -133,9 +140,7 @@ WITH {KMERS_CTE}, c AS (SELECT genome_id, least(kmer, reverse(translate(kmer, 'A
 SELECT genome_id, kmer, round(n / kept, 6) AS freq, round(n / every, 6) AS freq_all
 FROM c JOIN t USING (genome_id) WHERE NOT contains(kmer, 'N')""")
 def tetramer_freq(spark, sf):
-    kept = aggregate.tetramer_freq(sequences(spark, sf), ["genome_id"], "seq", "kept")
-    every = aggregate.tetramer_freq(sequences(spark, sf), ["genome_id"], "seq", "all")
-    both = kept.join(every.withColumnRenamed("freq", "freq_all"), ["genome_id", "kmer"])
+    both = aggregate.tetramer_freq(sequences(spark, sf), ["genome_id"], "seq", "both")
     return both.select("genome_id", "kmer", F.round("freq", 6).alias("freq"), F.round("freq_all", 6).alias("freq_all"))
 
 
@@ -158,7 +163,7 @@ def window_udtf(spark, sf):
 WITH {LENS_CTE} SELECT seq_id, CAST(sum(L) OVER (ORDER BY seq_id) AS BIGINT) AS end_offset,
   CAST(sum(L) OVER (PARTITION BY label ORDER BY seq_id) AS BIGINT) AS label_offset FROM lens""")
 def cum_offsets(spark, sf):
-    rows = lengths(spark, sf).select("seq_id", "label", "L")
+    rows = settled_lengths(spark, sf).select("seq_id", "label", "L")
     order, buckets = [F.col("seq_id")], ordering.id_buckets("seq_id")
     whole = ordering.cum_offsets(rows, "L", buckets, order)
     by_label = ordering.cum_offsets(rows, "L", buckets, order, keys=["label"])
@@ -180,7 +185,7 @@ g AS (SELECT genome_id, row_number() OVER (ORDER BY sum(L) DESC, genome_id) - 1
 SELECT 'record' AS unit, CAST(seq_id AS VARCHAR) AS id, bucket FROM b
 UNION ALL SELECT 'genome', genome_id, CAST(CASE WHEN (k // 4) % 2 = 0 THEN k % 4 ELSE 3 - k % 4 END AS INTEGER) FROM g""")
 def balanced_buckets(spark, sf):
-    rows = lengths(spark, sf)
+    rows = settled_lengths(spark, sf)
     records = ordering.balanced_buckets(rows, "seq_id", "L", 8)
     genomes = ordering.balanced_buckets(aggregate.genome_lengths(rows, "genome_id", "L"), "genome_id", "length", 4)
     out = records.select(F.lit("record").alias("unit"), F.col("seq_id").cast("string").alias("id"), "bucket")
@@ -200,7 +205,7 @@ SELECT o_orderkey, seq_id, CAST(pos - (e - L) AS BIGINT) AS inside FROM q JOIN o
 def locate(spark, sf):
     from cladeflow.operators import joins
 
-    rows = lengths(spark, sf).select("seq_id", "L")
+    rows = settled_lengths(spark, sf).select("seq_id", "L")
     spans = ordering.cum_offsets(rows, "L", ordering.id_buckets("seq_id"), [F.col("seq_id")])
     total = rows.agg(F.sum("L")).scalar()
     points = table(spark, sf, "orders").select("o_orderkey", ((F.col("o_orderkey") * 7919) % total).alias("at"))

@@ -69,5 +69,5 @@ def is_ncbi(col: Column) -> Column:
 
 
 def coarser_ranks(rank: str) -> list[str]:
-    """The ranks at and above `rank`, from the root down, that taxonomy tables here carry: domain and phylum first."""
+    """The ranks at and above `rank`, from the root down."""
     return list(RANKS[: RANKS.index(rank) + 1])

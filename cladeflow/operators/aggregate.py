@@ -112,14 +112,19 @@ def fill_kmers(counts: DataFrame, keys: Sequence[str], k: int = 4) -> DataFrame:
 def tetramer_freq(df: DataFrame, keys: Sequence[str], seq: str, norm: str = "kept", k: int = 4) -> DataFrame:
     """Canonical k-mer frequencies `keys, kmer, freq`.
 
-    `norm="kept"` divides by the unambiguous k-mers, `norm="all"` by every k-mer of the sequence.
+    `norm="kept"` divides by the unambiguous k-mers, `norm="all"` by every k-mer of the sequence; `norm="both"` gives
+    the second one as `freq_all`, from the same count.
     """
     counts = kmer_counts(df, keys, seq, k, canonical=True)
     ambiguous = F.col("kmer").rlike("[^ACGT]")
-    counted = F.col("n") if norm == "all" else F.when(~ambiguous, F.col("n"))
-    totals = counts.groupBy(*keys).agg(F.sum(counted).alias("_total"))
-    kept = counts.where(~ambiguous)
-    return kept.join(totals, list(keys)).select(*keys, "kmer", (F.col("n") / F.col("_total")).alias("freq"))
+    # After counting, a key holds at most one row per distinct k-mer: a window over it is small.
+    whole = Window.partitionBy(*keys)
+    rows = counts.select(
+        "*", F.sum("n").over(whole).alias("_all"), F.sum(F.when(~ambiguous, F.col("n"))).over(whole).alias("_kept")
+    ).where(~ambiguous)
+    kept, every = F.col("n") / F.col("_kept"), F.col("n") / F.col("_all")
+    shares = [kept.alias("freq"), every.alias("freq_all")] if norm == "both" else [(every if norm == "all" else kept).alias("freq")]
+    return rows.select(*keys, "kmer", *shares)
 
 
 def tetramer_table(df: DataFrame, keys: Sequence[str], seq: str, norm: str = "kept", k: int = 4) -> DataFrame:

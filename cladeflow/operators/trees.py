@@ -54,15 +54,6 @@ def patristic(closure: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.groupBy("a", "b").agg(F.min(F.col("_da") + F.col("_db")).alias("d"))
 
 
-def pair_grid(ids: DataFrame, key: str, blocks: int) -> DataFrame:
-    """All pairs `a < b` of ids, for a table whose size is known to be small: n·(n−1)/2 rows by definition."""
-    rows = ids.select(F.col(key).alias("id")).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.withColumn("_o", others).select(F.col("id").alias("a"), F.col("_b").alias("_i"), F.col("_o").alias("_j"))
-    right = rows.withColumn("_o", others).select(F.col("id").alias("b"), F.col("_o").alias("_i"), F.col("_b").alias("_j"))
-    return left.join(right, ["_i", "_j"]).where("a < b").select("a", "b")
-
-
 def tip_counts(closure: DataFrame, tips: DataFrame) -> DataFrame:
     """`ancestor, n_tips`; a tip counts itself."""
     under = closure.join(tips.select(F.col("tip").alias("node")).distinct(), "node", "left_semi")

@@ -21,12 +21,21 @@ def tile(df: DataFrame, seq: str, span: int, overlap: int, start: str = "tile_st
 
     Every run of `overlap + 1` residues lies whole in exactly one tile. Sequences not longer than `overlap` give none.
     """
-    n = F.ceil((F.length(seq) - overlap) / span)
-    starts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * span)
-    rows = df.where(F.length(seq) > overlap).withColumn(start, F.explode(starts))
+    starts = F.transform(_ordinals(F.ceil((F.length(seq) - overlap) / span)), lambda i: i * span)
+    rows = df.withColumn(start, F.explode(starts))
     return rows.withColumn(seq, slice_seq(F.col(seq), F.col(start), F.lit(span + overlap)))
 
 
+def _ordinals(n: Column, step: int = 1) -> Column:
+    """0, step, 2·step… below n; empty for n ≤ 0.
+
+    Empty arrays end a row inside the generator. A filter on the length would be pushed below and compute a derived
+    sequence a second time.
+    """
+    n = n.cast("bigint")
+    return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(step).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+
+
 def slice_seq(seq: Column, start: Column, length: Column) -> Column:
     """Residues `[start, start + length)`, 0-based, by byte offset."""
     return F.substring(seq.cast("binary"), start.cast("int") + 1, length.cast("int")).cast("string")
@@ -57,9 +66,8 @@ def window_sequences(
     step = _check(window, step, min_len)
     carried = [c for c in df.columns if c != seq]
     n = window_count(F.length(seq), step, min_len)
-    tiles = df.select(*carried, seq, n.alias("_n")).where(F.col("_n") > 0)
-    first = F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(WINDOWS_PER_TILE).cast("bigint"))
-    tiles = tiles.withColumn("_first", F.explode(first))
+    tiles = df.select(*carried, seq, n.alias("_n"))
+    tiles = tiles.withColumn("_first", F.explode(_ordinals(F.col("_n"), WINDOWS_PER_TILE)))
     here = F.least(F.col("_n") - F.col("_first"), F.lit(WINDOWS_PER_TILE))
     span = (WINDOWS_PER_TILE - 1) * step + window
     body = F.substring(F.col(seq).cast("binary"), (F.col("_first") * step).cast("int") + 1, F.lit(span))
@@ -82,8 +90,7 @@ def window_spans(df: DataFrame, seq_len: str, window: int, step: int | None = No
     """`start, end` of every window from the length alone: no residues are read or moved."""
     step = _check(window, step, min_len)
     n = window_count(F.col(seq_len), step, min_len)
-    starts = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: i * step)
-    rows = df.where(n > 0).withColumn("start", F.explode(starts))
+    rows = df.withColumn("start", F.explode(F.transform(_ordinals(n), lambda i: i * step)))
     return rows.withColumn("end", F.least(F.col("start") + window, F.col(seq_len)))
 
 
@@ -136,8 +143,8 @@ def split_windows(
     def draw(i):
         return F.struct(ordering.order_digest(seed, F.col(key), i * step).alias("digest"), (i * step).alias("start"))
 
-    permuted = F.array_sort(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), draw))
-    rows = df.where(n > 0).select("*", F.posexplode(permuted).alias("_pos", "_w"))
+    permuted = F.sort_array(F.transform(_ordinals(n), draw))
+    rows = df.select("*", F.posexplode(permuted).alias("_pos", "_w"))
     n_val = F.bround(n * F.lit(val_frac), 0)
     split = F.when(F.col("_pos") < n - n_val, "train").otherwise("val")
     return rows.select(*df.columns, F.col("_w.start").alias("start"), F.col("_pos").alias("perm"), split.alias("split"))

@@ -16,6 +16,10 @@ def read_accessions(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(names.strip_tag(F.col("accession")).alias("accession"))
 
 
+def single_accession(spark: SparkSession, accession: str) -> DataFrame:
+    return spark.range(1).select(names.strip_tag(F.lit(accession)).alias("accession"))
+
+
 def accessions_of(df: DataFrame, col: str | Column) -> DataFrame:
     """Distinct accessions of a metadata column, of tree tips or of a genome table."""
     column = F.col(col) if isinstance(col, str) else col
