@@ -172,7 +172,8 @@ def class_taxa(spark, sf_dir) -> DataFrame:
 TAX_CTE = """tax AS (
   SELECT s_suppkey AS subject, r_name AS domain, n_name AS phylum, s_name AS species
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
-HITS_CTE = """hits AS (SELECT l_orderkey AS orf, l_suppkey AS subject, l_extendedprice AS bitscore FROM lineitem)"""
+HITS_CTE = """hits AS (SELECT l_orderkey AS orf, l_suppkey AS subject,
+  CAST(round(l_extendedprice * 100) AS BIGINT) AS bitscore FROM lineitem)"""
 
 
 def subject_taxonomy(spark, sf_dir) -> DataFrame:
@@ -186,11 +187,11 @@ def subject_taxonomy(spark, sf_dir) -> DataFrame:
 
 
 def hits(spark, sf_dir) -> DataFrame:
-    """`orf, subject, bitscore`."""
+    """`orf, subject, bitscore`; scores are whole numbers, so that their means do not depend on the order of addition."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("orf"),
         F.col("l_suppkey").alias("subject"),
-        F.col("l_extendedprice").alias("bitscore"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("bitscore"),
     )
 
 

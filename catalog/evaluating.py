@@ -156,21 +156,21 @@ def accuracy_by_length(spark, sf):
 
 
 METRICS_CTE = """metrics AS (SELECT CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS epoch, epoch_us(ts) / 1000000.0 AS time,
-  CASE WHEN event_type IN ('view', 'click') THEN value END AS training_loss,
-  CASE WHEN event_type = 'purchase' AND user_id < 8 THEN value END AS validation_loss,
-  CASE WHEN event_type = 'signup' THEN value / 1000 END AS lr FROM events)"""
+  CASE WHEN event_type IN ('view', 'click') THEN CAST(round(value * 100) AS BIGINT) END AS training_loss,
+  CASE WHEN event_type = 'purchase' AND user_id < 8 THEN CAST(round(value * 100) AS BIGINT) END AS validation_loss,
+  CASE WHEN event_type = 'signup' THEN CAST(round(value * 100) AS BIGINT) END AS lr FROM events)"""
 
 
 def metrics(spark, sf):
-    """A training log: one epoch per day, training rows, a few validation rows and learning rates."""
-    kind, value = F.col("event_type"), F.col("value")
+    """A training log in whole numbers: one epoch per day, training rows, a few validation rows and learning rates."""
+    kind, value = F.col("event_type"), F.round(F.col("value") * 100).cast("bigint")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     return table(spark, sf, "events").select(
         F.floor(micros / 86400000000).alias("epoch"),
         (micros / 1000000.0).alias("time"),
         F.when(kind.isin("view", "click"), value).alias("training_loss"),
         F.when((kind == "purchase") & (F.col("user_id") < 8), value).alias("validation_loss"),
-        F.when(kind == "signup", value / 1000).alias("lr"),
+        F.when(kind == "signup", value).alias("lr"),
     )
 
 
@@ -188,7 +188,7 @@ def epoch_hours(spark, sf):
 @catalog.add("j08_join_epoch", f"""
 WITH {HOURS_CTE}, v AS (SELECT epoch, avg(validation_loss) AS validation_loss FROM metrics GROUP BY epoch
   HAVING count(validation_loss) > 0), r AS (SELECT epoch, avg(lr) AS lr FROM metrics GROUP BY epoch HAVING count(lr) > 0)
-SELECT epoch, round(validation_loss, 6) AS validation_loss, round(lr, 6) AS lr, round(hours, 6) AS hours
+SELECT epoch, validation_loss, lr, round(hours, 6) AS hours
 FROM v JOIN r USING (epoch) JOIN hours USING (epoch)""")
 def join_epoch(spark, sf):
     log = metrics(spark, sf)
@@ -196,7 +196,7 @@ def join_epoch(spark, sf):
     rates = log.where("lr IS NOT NULL").groupBy("epoch").agg(F.avg("lr").alias("lr"))
     hours = evaluate.epoch_hours(log, "epoch", "time", "training_loss", "validation_loss")
     joined = evaluate.join_epoch(losses, rates, hours)
-    return joined.select("epoch", *[F.round(c, 6).alias(c) for c in ("validation_loss", "lr", "hours")])
+    return joined.select("epoch", "validation_loss", "lr", F.round("hours", 6).alias("hours"))
 
 
 @catalog.add("j09_asof_last", """

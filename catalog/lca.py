@@ -12,7 +12,7 @@ catalog = Catalog()
 RANKS = ("domain", "phylum", "species")
 
 ORF_CTE = f"""{HITS_CTE}, {TAX_CTE},
-near AS (SELECT *, max(bitscore) OVER (PARTITION BY orf) AS best FROM hits QUALIFY bitscore >= 0.9 * best),
+near AS (SELECT *, max(bitscore) OVER (PARTITION BY orf) AS best FROM hits QUALIFY bitscore >= CAST(0.9 AS DOUBLE) * best),
 orf_lca AS (SELECT orf, count(*) AS n_hits, avg(bitscore) AS bitscore,
   CASE WHEN count(DISTINCT domain) = 1 THEN min(domain) END AS domain,
   CASE WHEN count(DISTINCT phylum) = 1 THEN min(phylum) END AS phylum,
@@ -31,13 +31,13 @@ def join_hits(spark, sf):
 
 
 @catalog.add("a18_hits_lca", f"""
-WITH {ORF_CTE} SELECT orf, n_hits, round(bitscore, 4) AS bitscore, domain, phylum, species FROM orf_lca""")
+WITH {ORF_CTE} SELECT orf, n_hits, bitscore, domain, phylum, species FROM orf_lca""")
 def hits_lca(spark, sf):
-    return orf_taxa(spark, sf).withColumn("bitscore", F.round("bitscore", 4))
+    return orf_taxa(spark, sf)
 
 
 @catalog.add("a19_aggregate_orfs", f"""
-WITH {ORF_CTE}, o AS (SELECT o_custkey, o_totalprice AS score, domain, phylum, species
+WITH {ORF_CTE}, o AS (SELECT o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS score, domain, phylum, species
   FROM orders JOIN orf_lca ON o_orderkey = orf),
 t AS (SELECT o_custkey, sum(score) AS total FROM o GROUP BY o_custkey),
 l AS (SELECT o_custkey, rank, taxon, sum(score) AS s FROM (
@@ -50,7 +50,7 @@ SELECT t.o_custkey, max(taxon) FILTER (rank = 'domain') AS domain, max(taxon) FI
   max(taxon) FILTER (rank = 'species') AS species FROM t LEFT JOIN w USING (o_custkey) GROUP BY t.o_custkey""")
 def aggregate_orfs(spark, sf):
     orders = table(spark, sf, "orders").select(
-        "o_custkey", F.col("o_orderkey").alias("orf"), F.col("o_totalprice").alias("score")
+        "o_custkey", F.col("o_orderkey").alias("orf"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("score")
     )
     orfs = orders.join(orf_taxa(spark, sf).drop("bitscore", "n_hits"), "orf")
     return lca.aggregate_orfs(orfs, ["o_custkey"], "score", RANKS)

@@ -37,29 +37,29 @@ def stream_mean(spark, sf):
 
 
 @catalog.add("t02_stream_hits_lca", f"""
-WITH {ORF_CTE} SELECT orf, n_hits, round(bitscore, 4) AS bitscore, domain, phylum, species FROM orf_lca""")
+WITH {ORF_CTE} SELECT orf, n_hits, bitscore, domain, phylum, species FROM orf_lca""")
 def stream_hits_lca(spark, sf):
     out = scratch(spark, "hits")
     stream = replay(spark, hits(spark, sf), 4)
     incremental.stream_hits(stream, out, scratch(spark, "query"), ["orf"], "bitscore").awaitTermination()
-    found = incremental.streamed_lca(spark, out, subject_taxonomy(spark, sf), ["orf"], "subject", "bitscore", RANKS)
-    return found.withColumn("bitscore", F.round("bitscore", 4))
+    return incremental.streamed_lca(spark, out, subject_taxonomy(spark, sf), ["orf"], "subject", "bitscore", RANKS)
 
 
 @catalog.add("t03_stream_metrics", """
-WITH e AS (SELECT *, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS day, max(epoch_us(ts)) OVER () - 3600000000 AS mark FROM events)
-SELECT day, event_type, count(*) AS n, round(avg(value), 4) AS mean, arg_max(value, ts) AS last,
+WITH e AS (SELECT event_type, ts, CAST(round(value * 100) AS BIGINT) AS value,
+  CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS day, max(epoch_us(ts)) OVER () - 3600000000 AS mark FROM events)
+SELECT day, event_type, count(*) AS n, avg(value) AS mean, arg_max(value, ts) AS last,
   round((max(epoch_us(ts)) - min(epoch_us(ts))) / 3600000000, 5) AS hours FROM e
 WHERE (day + 1) * 86400000000 <= mark GROUP BY day, event_type""")
 def stream_metrics(spark, sf):
-    rows = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    rows = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.round(F.col("value") * 100).cast("bigint").alias("value"))
     out = scratch(spark, "metrics")
     stream = replay(spark, rows, 3, order=["ts"])
     windows = incremental.stream_metrics(stream, "ts", "value", ["event_type"])
     incremental.write_append(windows, out, scratch(spark, "query")).awaitTermination()
     found = spark.read.parquet(out)
     day = F.floor(F.unix_seconds("start") / 86400)
-    return found.select(day.alias("day"), "event_type", "n", F.round("mean", 4).alias("mean"), "last", F.round("hours", 5).alias("hours"))
+    return found.select(day.alias("day"), "event_type", "n", "mean", "last", F.round("hours", 5).alias("hours"))
 
 
 @catalog.add("t04_stream_fasta", f"""
