@@ -8,7 +8,7 @@ from catalog.common import Catalog, hits, sequences, subject_taxonomy, table
 from catalog.files import header
 from catalog.lca import ORF_CTE, RANKS
 from catalog.models import CLASSES, SCORED_CTE, STEP, WIDTH, linear_model
-from cladeflow import scratch
+from cladeflow import scratch, spread
 from cladeflow.operators import aggregate
 from cladeflow.plans import inference
 from cladeflow.sources import fasta
@@ -17,12 +17,16 @@ from cladeflow.streaming import incremental
 catalog = Catalog()
 
 
-def replay(spark, df, n_files, order=None):
-    """The rows as a stream of `n_files` files, one per micro-batch, split in the given order."""
-    path = scratch(spark, "stream")
-    spread = df.repartitionByRange(n_files, *order) if order else df.repartition(n_files)
-    spread.write.parquet(path)
-    return spark.readStream.schema(spread.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def per_trigger(df, n_batches):
+    """Files of a micro-batch, when the rows are written by the tasks they have now."""
+    return max(1, -(-df.rdd.getNumPartitions() // n_batches))
+
+
+def replay(spark, df, n_batches):
+    """The rows as a stream of about `n_batches` micro-batches, in no particular order."""
+    path, rows = scratch(spark, "stream"), spread(df)
+    rows.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger(rows, n_batches)).parquet(path)
 
 
 @catalog.add("t01_stream_mean", """
@@ -52,9 +56,11 @@ SELECT day, event_type, count(*) AS n, avg(value) AS mean, arg_max(value, ts) AS
   round((max(epoch_us(ts)) - min(epoch_us(ts))) / 3600000000, 5) AS hours FROM e
 WHERE (day + 1) * 86400000000 <= mark GROUP BY day, event_type""")
 def stream_metrics(spark, sf):
-    rows = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.round(F.col("value") * 100).cast("bigint").alias("value"))
+    # All files in one micro-batch: their age says nothing about the order of their rows, so none may count as late.
+    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    value = F.round(F.col("value") * 100).cast("bigint").alias("value")
+    stream = events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", value)
     out = scratch(spark, "metrics")
-    stream = replay(spark, rows, 3, order=["ts"])
     windows = incremental.stream_metrics(stream, "ts", "value", ["event_type"])
     incremental.write_append(windows, out, scratch(spark, "query")).awaitTermination()
     found = spark.read.parquet(out)
@@ -67,12 +73,13 @@ WITH {SCORED_CTE} SELECT CAST(seq_id AS VARCHAR) AS seq_id, count(*) AS n_chunks
   round(avg(p2), 6) AS p2 FROM p GROUP BY seq_id""")
 def stream_fasta(spark, sf):
     incoming, out = scratch(spark, "incoming"), scratch(spark, "scored")
-    fasta.write_fasta(sequences(spark, sf).repartition(3), incoming, header(), "seq")
+    seqs = sequences(spark, sf)
+    fasta.write_fasta(seqs, incoming, header(), "seq")
 
     def infer(records):
         return inference.infer_sequences(records, "sequence", WIDTH, STEP, linear_model(), CLASSES)
 
-    scored = incremental.stream_scored(incremental.stream_fasta(spark, incoming, 1), infer)
+    scored = incremental.stream_scored(incremental.stream_fasta(spark, incoming, per_trigger(seqs, 3)), infer)
     incremental.write_append(scored, out, scratch(spark, "query")).awaitTermination()
     outputs = spark.read.parquet(out).withColumn("seq_id", F.element_at(F.split("seq_id", "-"), -1))
     means = aggregate.mean_outputs(outputs, ["seq_id"], "p")
