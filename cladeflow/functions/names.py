@@ -31,11 +31,14 @@ def path_accession(col: Column) -> Column:
 
 
 def split_lineage(col: Column, epithet: bool = False) -> list[Column]:
-    """Seven rank columns out of a `;`-separated lineage; `epithet` keeps the second word of the species."""
+    """Seven rank columns out of a `;`-separated lineage; `epithet` keeps the second word of the species.
+
+    What a short lineage lacks is NULL.
+    """
     names = F.split(col, ";")
-    out = [names.getItem(i).alias(rank) for i, rank in enumerate(RANKS)]
+    out = [F.get(names, F.lit(i)).alias(rank) for i, rank in enumerate(RANKS)]
     if epithet:
-        out[-1] = F.split(names.getItem(6), " ").getItem(1).alias("species")
+        out[-1] = F.get(F.split(F.get(names, F.lit(6)), " "), F.lit(1)).alias("species")
     return out
 
 

@@ -58,7 +58,7 @@ def assembly_stats(df: DataFrame, key: str, length: str, compat: bool = False) -
         above = F.col("_cum") > F.col("_total") * (share / 100.0)
         before = F.col("_cum") - F.col("_bases")
         # Contigs of this length needed to pass the threshold, after all longer ones.
-        needed = F.floor((F.col("_total") * (share / 100.0) - before) / F.col(length)) + 1
+        needed = F.floor((F.col("_total") * (share / 100.0) - before) / F.nullif(F.col(length), F.lit(0))) + 1
         rank = F.col("_rank") - F.col("_n") + needed
         picks += [
             F.max(F.when(above, F.col(length))).alias(f"_len{share}"),

@@ -28,7 +28,7 @@ def taxonomic_accuracy(preds: DataFrame, taxa: DataFrame, leaf: str, levels: Seq
     scored = rows.groupBy("level").agg(
         F.sum("_n").alias("n"),
         (F.sum(F.when(same, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("seq_acc"),
-        (F.sum(F.when(same, F.col("_bases")).otherwise(0)) / F.sum("_bases")).alias("base_acc"),
+        F.try_divide(F.sum(F.when(same, F.col("_bases")).otherwise(0)), F.sum("_bases")).alias("base_acc"),
         F.count_distinct("_truth").alias("present"),
     )
     totals = taxonomy.level_cardinality(taxa, levels).withColumnRenamed("n_classes", "total")
@@ -57,7 +57,7 @@ def report_by_domain(df: DataFrame, domain: str, ranks: Sequence[str]) -> DataFr
 
 def bases_classified(df: DataFrame, length: str, preds: Sequence[str]) -> DataFrame:
     """Share of the bases in sequences that have a prediction, one column per prediction."""
-    return df.agg(*[(F.sum(F.when(F.col(p).isNotNull(), F.col(length)).otherwise(0)) / F.sum(length)).alias(p) for p in preds])
+    return df.agg(*[F.try_divide(F.sum(F.when(F.col(p).isNotNull(), F.col(length)).otherwise(0)), F.sum(length)).alias(p) for p in preds])
 
 
 def confusion(df: DataFrame, true: str, pred: str) -> DataFrame:
@@ -131,7 +131,7 @@ def roc_curve(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -
     """`keys, threshold, fpr, tpr` at every distinct score; scores lie in [0, 1]. The origin is left out."""
     rows = _score_counts(df, label, score, keys)
     return rows.select(
-        *keys, F.col(score).alias("threshold"), (F.col("fp") / F.col("_N")).alias("fpr"), (F.col("tp") / F.col("_P")).alias("tpr")
+        *keys, F.col(score).alias("threshold"), F.try_divide("fp", "_N").alias("fpr"), F.try_divide("tp", "_P").alias("tpr")
     )
 
 
@@ -140,7 +140,7 @@ def roc_auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) ->
     rows = _score_counts(df, label, score, keys)
     # The point before this one is the running count without this score's own share.
     area = F.col("_fp") * (F.col("tp") - F.col("_tp") / 2)
-    return rows.groupBy(*keys).agg((F.sum(area) / F.first(F.col("_P") * F.col("_N"))).alias("auc"))
+    return rows.groupBy(*keys).agg(F.try_divide(F.sum(area), F.first(F.col("_P") * F.col("_N"))).alias("auc"))
 
 
 def pr_curve(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -148,7 +148,7 @@ def pr_curve(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) ->
     rows = _score_counts(df, label, score, keys)
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     return rows.select(
-        *keys, F.col(score).alias("threshold"), precision.alias("precision"), (F.col("tp") / F.col("_P")).alias("recall")
+        *keys, F.col(score).alias("threshold"), precision.alias("precision"), F.try_divide("tp", "_P").alias("recall")
     )
 
 
@@ -159,7 +159,7 @@ def pr_auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> D
     before = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(F.lit(1.0))
     here = F.col("tp") / (F.col("tp") + F.col("fp"))
     area = F.col("_tp") * (before + here) / 2
-    return rows.groupBy(*keys).agg((F.sum(area) / F.first("_P")).alias("aupr"))
+    return rows.groupBy(*keys).agg(F.try_divide(F.sum(area), F.first("_P")).alias("aupr"))
 
 
 def accuracy_by_length(df: DataFrame, length: str, right: str, bins: int = 100) -> DataFrame:

@@ -68,7 +68,7 @@ def drop_unlabelled(df: DataFrame, label: str) -> DataFrame:
 def labelled_share(df: DataFrame, label: str) -> DataFrame:
     """`n, n_kept, share` of the labelled rows."""
     kept = F.count(label)
-    return df.agg(F.count(F.lit(1)).alias("n"), kept.alias("n_kept"), (kept / F.count(F.lit(1))).alias("share"))
+    return df.agg(F.count(F.lit(1)).alias("n"), kept.alias("n_kept"), F.try_divide(kept, F.count(F.lit(1))).alias("share"))
 
 
 def filter_score(df: DataFrame, score: str, minimum: float) -> DataFrame:

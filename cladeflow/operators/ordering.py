@@ -307,4 +307,4 @@ def balanced_buckets(df: DataFrame, key: str, weight: str, n: int, mode: str = "
 def balance_report(df: DataFrame, weight: str, n: int) -> DataFrame:
     """Load per bucket, and the ratio of the greatest load to the mean one in `max_over_mean`."""
     loads = df.groupBy("bucket").agg(F.sum(weight).cast("bigint").alias("load"), F.count(F.lit(1)).alias("n_items"))
-    return loads.withColumn("max_over_mean", loads.agg(F.max("load") / (F.sum("load") / n)).scalar())
+    return loads.withColumn("max_over_mean", loads.agg(F.try_divide(F.max("load") * n, F.sum("load"))).scalar())

@@ -100,13 +100,14 @@ def predict_hierarchical(rolled: DataFrame, taxa: DataFrame, keys: Sequence[str]
         picked = here.groupBy(*keys).agg(
             F.max_by("taxon", F.struct(F.col("p"), -F.col("taxon"))).alias("pred"),
             F.sum("p").alias("_mass"),
+            # At most one value per child taxon.
             F.sort_array(F.collect_list("p"), asc=False).alias("_ps"),
         )
         above = picked.select(
             *keys,
             F.lit(level).alias("level"),
             "pred",
-            V.bind(F.col("_mass"), lambda m: F.transform(F.slice("_ps", 1, k), lambda p: p / m)).alias("maxprob"),
+            V.bind(F.col("_mass"), lambda m: F.transform(F.slice("_ps", 1, k), lambda p: F.try_divide(p, m))).alias("maxprob"),
         )
         out = above if out is None else out.unionByName(above)
     return out

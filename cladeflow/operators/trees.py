@@ -108,7 +108,7 @@ def compare_trees(closure1: DataFrame, closure2: DataFrame, tips: DataFrame, pai
     counted = correlation.select(
         size(a).alias("n1"), size(b).alias("n2"), size(shared).alias("n_shared"), ((1 - F.col("pearson")) / 2).alias("tip_distance")
     )
-    return counted.withColumn("subset_distance", 1 - 2 * F.col("n_shared") / (F.col("n1") + F.col("n2")))
+    return counted.withColumn("subset_distance", F.coalesce(1 - F.try_divide(2 * F.col("n_shared"), F.col("n1") + F.col("n2")), F.lit(1.0)))
 
 
 def shear_tree(edges: DataFrame, closure: DataFrame, tips: DataFrame) -> DataFrame:

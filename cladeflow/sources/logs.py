@@ -34,9 +34,9 @@ def parse_profile_logs(spark: SparkSession, paths: str | Sequence[str]) -> DataF
     rows = lines.select("path", "pos", "_table", is_total.alias("_total"), F.get(cells, F.lit(0)).alias("action"), F.get(cells, F.col("_at")).alias("total"))
     rows = ordering.prefix(rows, ["path", "_table"], buckets, order, sums={"_row": (~F.col("_total")).cast("int")})
     rows = rows.where(F.col("_row") <= TABLE_ROWS)
-    fields = [F.regexp_extract("path", pattern, 1).cast("int").alias(name) for name, pattern in NAME_FIELDS.items()]
+    fields = [F.regexp_extract("path", pattern, 1).try_cast("int").alias(name) for name, pattern in NAME_FIELDS.items()]
     action = F.when(F.col("_total"), "total").otherwise(F.trim("action"))
-    return rows.select("path", *fields, (F.col("_table") - 1).alias("rank"), action.alias("action"), F.trim("total").cast("double").alias("total"))
+    return rows.select("path", *fields, (F.col("_table") - 1).alias("rank"), action.alias("action"), F.trim("total").try_cast("double").alias("total"))
 
 
 def pivot_actions(rows: DataFrame, actions: Sequence[str]) -> DataFrame:

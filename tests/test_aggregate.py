@@ -184,3 +184,12 @@ def test_longest_sequence_is_in_the_last_bin(spark):
     assert sum(r["n"] for r in rows) == 11 and {r["bin"]: r["n"] for r in rows}[9] == 2
     same = spark.createDataFrame([(5, True), (5, False)], "n long, ok boolean")
     assert evaluate.accuracy_by_length(same, "n", "ok", 10).first()["bin"] == 0
+
+
+def test_empty_contigs_and_one_sided_labels_do_not_fail(spark):
+    rows = {r["genome"]: r for r in aggregate.assembly_stats(contigs(spark, a=[5, 0, 3, 0], b=[0]), "genome", "length").collect()}
+    assert (rows["a"]["n_ctgs"], rows["a"]["n50_len"], rows["a"]["n90_len"]) == (4, 5, 3)
+    assert rows["b"]["n50_len"] is None and rows["b"]["n_ctgs"] == 1
+    only = spark.createDataFrame([(1, 0.5), (1, 0.7)], "y int, s double")
+    assert evaluate.roc_auc(only, "y", "s").first()["auc"] is None
+    assert evaluate.pr_auc(only, "y", "s").first()["aupr"] == 1.0

@@ -146,3 +146,8 @@ def test_tetramer_frequencies_of_both_kinds(spark):
     assert len(aggregate.canonical_kmers()) == 136
     wide = aggregate.tetramer_table(seqs(spark, "AAAATTTTN"), ["seq_id"], "seq").first()
     assert len(wide) == 137 and wide["CCCC"] == 0.0
+
+
+def test_short_lineages_have_nulls(spark):
+    row = spark.range(1).select(*names.split_lineage(F.lit("d__A;p__B"), epithet=True)).first()
+    assert (row["domain"], row["phylum"], row["class"], row["species"]) == ("d__A", "p__B", None, None)
