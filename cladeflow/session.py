@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +21,7 @@ def get_spark(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.parquet.compression.codec": "zstd",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -30,19 +29,49 @@ def get_spark(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, or a fresh one where it is unset."""
+    """The folder every executor can reach: `spark.checkpoint.dir`, else one beside the tables of the session's warehouse.
+
+    Without either of them on a shared file system a cluster cannot read back what its executors write, which is an error.
+    """
+    context = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_KEY, None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="cladeflow-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return configured or current
+    if configured is None:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        fs, path = _file_system(spark, configured)
+        if fs.getScheme() == "file" and not context.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share; {configured} is local")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
+        fs, path = _file_system(spark, context.getCheckpointDir())
+        fs.deleteOnExit(path)
+    return configured
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A new path in the shared folder, which goes when the session ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    fs, path = _file_system(spark, folder)
+    fs.deleteOnExit(path)
+    return folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write rows to the shared folder and read them back: compressed, readable by column, safe from lost executors."""
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
