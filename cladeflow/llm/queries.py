@@ -65,7 +65,7 @@ levels AS (
          ({mixing.SHARE} * (SELECT sum(source_size) FROM filled) - {mixing.MOST} * (SELECT coalesce(sum(source_size), 0) FROM filled f WHERE f.level < g.level))
            / (SELECT sum(weight) FROM filled f WHERE f.level >= g.level) AS found
   FROM filled g),
-chosen AS (SELECT coalesce(min(found) FILTER (WHERE found < reached), CAST('Infinity' AS DOUBLE)) AS level FROM levels),
+chosen AS (SELECT coalesce(arg_min(found, reached) FILTER (WHERE found < reached), CAST('Infinity' AS DOUBLE)) AS level FROM levels),
 targets AS (
   SELECT source, source_size, CAST(least({mixing.MOST} * source_size, chosen.level * weight) AS DOUBLE) AS target FROM filled, chosen),
 rates AS (
