@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cladeflow.llm import bpe, credentials, iblt, mixing, ordinal, shards, trie_simhash
+from cladeflow.llm import bpe, credentials, fuzzy_lines, html_suffix, iblt, mixing, nn_descent, ordinal, shards, trie_simhash
 from cladeflow.llm.common import WORD, table
 
 
+def op1_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_suffix.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.minimax_shards(table(spark, sf_dir, "documents"))
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = ordinal.train(docs, labels.select("doc_id", ordinal.grade_of(F.col("quality"), F.col("toxic")).alias("grade")))
@@ -24,6 +32,12 @@ def op5_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.length(kept).cast("long").alias("n_chars"), F.sha2(kept, 256).alias("text_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
@@ -52,7 +66,10 @@ def op10_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_minimax_shards, op4_ordinal_quality, op5_credential_links, op7_bpe, op8_trie_simhash, op9_source_mix, op10_iblt)
+    for f in (
+        op1_host_suffix_array, op2_minimax_shards, op3_nn_descent, op4_ordinal_quality, op5_credential_links, op6_fuzzy_lines, op7_bpe,
+        op8_trie_simhash, op9_source_mix, op10_iblt,
+    )
 }
 
 _OP9 = f"""
