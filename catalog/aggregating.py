@@ -197,12 +197,18 @@ def aggregate_chunks(spark, sf):
 
 
 @catalog.add("a33_mean_coordinates", """
-SELECT label * 10 + vec_id % 10 AS seq_id, round(avg(CAST(embedding[63] AS DOUBLE)), 6) AS x,
-  round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS y FROM embeddings GROUP BY 1""")
+WITH e AS (SELECT label * 10 + vec_id % 10 AS seq_id, vec_id, generate_subscripts(embedding, 1) - 1 AS i,
+    CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+xy AS (SELECT seq_id, vec_id, sum(v) FILTER (i % 2 = 0) AS x, sum(v) FILTER (i % 2 = 1) AS y FROM e GROUP BY seq_id, vec_id)
+SELECT seq_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM xy GROUP BY seq_id""")
 def mean_coordinates(spark, sf):
+    def half(odd):
+        kept = F.filter(F.col("embedding").cast("array<double>"), lambda x, i: i % 2 == odd)
+        return F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + x)
+
+    # The display coordinates of a vector: the sums of its elements in even and in odd places.
     points = table(spark, sf, "embeddings").select(
-        (F.col("label") * 10 + F.col("vec_id") % 10).alias("seq_id"),
-        F.slice("embedding", 63, 2).cast("array<double>").alias("xy"),
+        (F.col("label") * 10 + F.col("vec_id") % 10).alias("seq_id"), F.array(half(0), half(1)).alias("xy")
     )
     means = aggregate.mean_outputs(points, ["seq_id"], "xy")
     return means.select("seq_id", F.round(F.get("xy", 0), 6).alias("x"), F.round(F.get("xy", 1), 6).alias("y"))

@@ -9,12 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cladeflow import spread
 
-# The letter map that turns prose into DNA.
+# The letter map that turns prose into DNA. Every character becomes one residue: other characters are N.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TO_DNA = "ACGTACGTACGTACGTACGTACGTAN"
 
-N_CLASSES = 10
-
 
 class Catalog:
     """Collects queries and their SQL by name."""
@@ -39,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # -- sequences ---------------------------------------------------------------------------------------------------
 
-LETTERS_SQL = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
+LETTERS_SQL = f"regexp_replace(translate(text, '{LETTERS.lower()}', '{LETTERS}'), '[^A-Z]', 'N', 'g')"
 DNA_SQL = f"translate({LETTERS_SQL}, '{LETTERS}', '{TO_DNA}')"
 SEQS_CTE = f"seqs AS (SELECT doc_id AS seq_id, source AS genome_id, lang AS label, {DNA_SQL} AS seq FROM documents)"
 
@@ -50,7 +48,7 @@ def documents(spark, sf_dir) -> DataFrame:
 
 
 def letters():
-    return F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return F.regexp_replace(F.translate("text", LETTERS.lower(), LETTERS), "[^A-Z]", "N")
 
 
 def sequences(spark, sf_dir) -> DataFrame:
@@ -132,7 +130,7 @@ def lineage(spark, sf_dir) -> DataFrame:
 
 CHUNKS_CTE = """chunks AS (
   SELECT vec_id AS chunk_id, label * 10 + vec_id % 10 AS seq_id, label, vec_id % 5 + 100 AS length,
-         [CAST(x AS DOUBLE) for x in embedding[1:10]] AS logits
+         [CAST(x AS DOUBLE) for x in embedding] AS logits
   FROM embeddings),
 raw_long AS (SELECT chunk_id, seq_id, label, length, generate_subscripts(logits, 1) - 1 AS class, unnest(logits) AS z
              FROM chunks),
@@ -141,29 +139,30 @@ probs AS (SELECT chunk_id, seq_id, label, length, class, e / sum(e) OVER (PARTIT
 
 
 def chunks(spark, sf_dir) -> DataFrame:
-    """`chunk_id, seq_id, label, length, logits`: the first ten elements of each vector as logits."""
+    """`chunk_id, seq_id, label, length, logits`: the elements of each vector as the logits of as many classes."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("chunk_id"),
         (F.col("label") * 10 + F.col("vec_id") % 10).alias("seq_id"),
         "label",
         (F.col("vec_id") % 5 + 100).alias("length"),
-        F.slice("embedding", 1, N_CLASSES).cast("array<double>").alias("logits"),
+        F.col("embedding").cast("array<double>").alias("logits"),
     )
 
 
 TAXA_CTE = """taxa AS (
-  SELECT DISTINCT label AS species, label // 2 AS genus, label // 4 AS family FROM embeddings)"""
+  SELECT species, species // 2 AS genus, species // 4 AS family
+  FROM (SELECT DISTINCT CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS species FROM embeddings))"""
 
 LEVELS = ("family", "genus", "species")
 
 
 def class_taxa(spark, sf_dir) -> DataFrame:
-    """`species, genus, family` codes of the classes: a strict hierarchy over the labels."""
-    labels = table(spark, sf_dir, "embeddings").select("label").distinct()
-    return labels.select(
-        F.col("label").alias("species"),
-        F.expr("label div 2").cast("int").alias("genus"),
-        F.expr("label div 4").cast("int").alias("family"),
+    """`species, genus, family` codes of the classes, one for each element of the vectors: a strict hierarchy."""
+    classes = table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("species", "_")).select("species").distinct()
+    return classes.select(
+        "species",
+        F.expr("species div 2").cast("int").alias("genus"),
+        F.expr("species div 4").cast("int").alias("family"),
     )
 
 
@@ -171,14 +170,14 @@ def class_taxa(spark, sf_dir) -> DataFrame:
 
 TAX_CTE = """tax AS (
   SELECT s_suppkey AS subject, r_name AS domain, n_name AS phylum, s_name AS species
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 7 <> 0)"""
 HITS_CTE = """hits AS (SELECT l_orderkey AS orf, l_suppkey AS subject,
   CAST(round(l_extendedprice * 100) AS BIGINT) AS bitscore FROM lineitem)"""
 
 
 def subject_taxonomy(spark, sf_dir) -> DataFrame:
-    """`subject, domain, phylum, species`."""
-    return lineage(spark, sf_dir).select(
+    """`subject, domain, phylum, species`; every seventh subject is unknown."""
+    return lineage(spark, sf_dir).where("s_suppkey % 7 <> 0").select(
         F.col("s_suppkey").alias("subject"),
         F.col("r_name").alias("domain"),
         F.col("n_name").alias("phylum"),

@@ -16,12 +16,13 @@ catalog = Catalog()
 ACCURACY_CTE = f"""{VOTES_CTE}, {TAXA_CTE},
 m AS (SELECT seq_id, label, class, avg(p) AS p, sum(length) AS length FROM probs GROUP BY ALL),
 b AS (SELECT seq_id, label, length, arg_min(class, (-p, class)) AS pred FROM m GROUP BY ALL),
-x AS (SELECT b.*, t.genus AS tg, t.family AS tf, q.genus AS pg, q.family AS pf FROM b JOIN taxa t ON b.label = t.species
-  JOIN taxa q ON b.pred = q.species)"""
+c AS (SELECT seq_id, label, length, CASE WHEN seq_id % 11 = 0 THEN NULL WHEN seq_id % 13 = 0 THEN -1 ELSE pred END AS pred FROM b),
+x AS (SELECT c.seq_id, c.label, c.length, q.species AS pred, t.genus AS tg, t.family AS tf, q.genus AS pg, q.family AS pf
+  FROM c LEFT JOIN taxa t ON c.label = t.species LEFT JOIN taxa q ON c.pred = q.species)"""
 
 
 def accuracy_sql(level, true, pred):
-    return f"""SELECT '{level}' AS level, count(*) AS n, round(avg(CAST({true} = {pred} AS INT)), 6) AS seq_acc,
+    return f"""SELECT '{level}' AS level, count(*) AS n, round(avg(CAST(coalesce({true} = {pred}, false) AS INT)), 6) AS seq_acc,
   round(sum(CASE WHEN {true} = {pred} THEN length ELSE 0 END) / sum(length), 6) AS base_acc,
   count(DISTINCT {true}) AS present, (SELECT count(DISTINCT {level}) FROM taxa) AS total FROM x"""
 
@@ -30,6 +31,9 @@ def accuracy_sql(level, true, pred):
     accuracy_sql(*a) for a in (("species", "label", "pred"), ("genus", "tg", "pg"), ("family", "tf", "pf"))))
 def taxonomic_accuracy(spark, sf):
     seqs = aggregate.aggregate_chunks(scored(spark, sf), "seq_id", "p", "label", "length")
+    # Some sequences are unclassified, some get a class that the taxa do not have.
+    pred = F.when(F.col("seq_id") % 11 == 0, F.lit(None)).when(F.col("seq_id") % 13 == 0, -1).otherwise(F.col("pred"))
+    seqs = seqs.withColumn("pred", pred)
     table_ = evaluate.taxonomic_accuracy(seqs, class_taxa(spark, sf), "species", LEVELS, "length")
     return table_.select(
         "level", "n", F.round("seq_acc", 6).alias("seq_acc"), F.round("base_acc", 6).alias("base_acc"), "present", "total"

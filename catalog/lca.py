@@ -17,7 +17,7 @@ orf_lca AS (SELECT orf, count(*) AS n_hits, avg(bitscore) AS bitscore,
   CASE WHEN count(DISTINCT domain) = 1 THEN min(domain) END AS domain,
   CASE WHEN count(DISTINCT phylum) = 1 THEN min(phylum) END AS phylum,
   CASE WHEN count(DISTINCT species) = 1 THEN min(species) END AS species
-  FROM near JOIN tax USING (subject) GROUP BY orf)"""
+  FROM near LEFT JOIN tax USING (subject) GROUP BY orf)"""
 
 
 def orf_taxa(spark, sf):
@@ -25,7 +25,7 @@ def orf_taxa(spark, sf):
 
 
 @catalog.add("j06_join_hits", f"""
-WITH {HITS_CTE}, {TAX_CTE} SELECT orf, subject, bitscore, domain, phylum, species FROM hits JOIN tax USING (subject)""")
+WITH {HITS_CTE}, {TAX_CTE} SELECT orf, subject, bitscore, domain, phylum, species FROM hits LEFT JOIN tax USING (subject)""")
 def join_hits(spark, sf):
     return lca.join_hits(hits(spark, sf), subject_taxonomy(spark, sf), "subject")
 

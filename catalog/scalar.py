@@ -336,7 +336,7 @@ def drop_unlabelled(spark, sf):
 
 
 @catalog.add("p07_filter_score", f"""
-WITH {CHUNKS_CTE} SELECT chunk_id, round(max(p), 6) AS score FROM probs GROUP BY chunk_id HAVING max(p) >= 0.14""")
+WITH {CHUNKS_CTE} SELECT chunk_id, round(max(p), 6) AS score FROM probs GROUP BY chunk_id HAVING max(p) >= 0.025""")
 def filter_score(spark, sf):
     scored = chunks(spark, sf).select("chunk_id", F.array_max(V.softmax(F.col("logits"))).alias("score"))
     return filters.filter_score(scored, "score", 0.14).withColumn("score", F.round("score", 6))

@@ -75,9 +75,9 @@ def phylo_stats(spark, sf):
 
 def moved_edges(spark, sf):
     """The tree with a tenth of the customers of four nations under the next nation, and other lengths."""
-    key = F.substring("child", 2, 20).cast("bigint")
+    key = F.substr("child", F.lit(2)).cast("bigint")
     moved = F.col("is_tip") & (key % 10 == 0) & F.col("parent").isin("n1", "n6", "n7", "n20")
-    other = F.concat(F.lit("n"), ((F.substring("parent", 2, 20).cast("int") + 1) % 25).cast("string"))
+    other = F.concat(F.lit("n"), ((F.substr("parent", F.lit(2)).cast("int") + 1) % 25).cast("string"))
     return tree_edges(spark, sf).select(
         "child", F.when(moved, other).otherwise(F.col("parent")).alias("parent"), (F.col("length") * 2 + 1).alias("length"), "is_tip"
     )

@@ -8,12 +8,13 @@ from pyspark.sql import Column, functions as F
 RANKS = ("domain", "phylum", "class", "order", "family", "genus", "species")
 ARCHIVE = "ftp.ncbi.nlm.nih.gov/genomes/all"
 
+# Fixed value: a query name is accession-length-sequence_ORF.
 _QUERY = r"^([^-]*)-([^-]*)-(.*)_([^_]*)$"
 
 
 def strip_tag(col: Column, always: bool = False) -> Column:
     """Remove the source tag; `always` drops three characters whatever they are."""
-    return F.substring(col, 4, 1 << 20) if always else F.regexp_replace(col, "^(RS|GB)_", "")
+    return F.substr(col, F.lit(4)) if always else F.regexp_replace(col, "^(RS|GB)_", "")
 
 
 def accession_path(col: Column, sequence_only: bool = True) -> Column:

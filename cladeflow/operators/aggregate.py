@@ -52,7 +52,7 @@ def assembly_stats(df: DataFrame, key: str, length: str, compat: bool = False) -
         (F.sum("_bases") / F.sum("_n")).alias("mean_len"),
         F.sum("_bases").alias("_total"),
     )
-    rows = running.join(totals, key)
+    rows = ordering.same_keys_join(running, totals, [key])
     picks = []
     for share in (50, 90):
         above = F.col("_cum") > F.col("_total") * (share / 100.0)

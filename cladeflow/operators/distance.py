@@ -28,11 +28,11 @@ def n_blocks(df: DataFrame, block_rows: int = BLOCK_ROWS) -> int:
 
 
 def _block_pairs(left: DataFrame, right: DataFrame, key: str, vec: str, blocks: int):
-    """Both sides grouped by block pair: each vector is copied once per block of the other side."""
+    """Both sides grouped by block pair: each vector is copied once per block of the other side; NULL vectors are left out."""
 
     def placed(df, own, other):
         rows = df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-        rows = rows.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        rows = rows.where(F.col("v").isNotNull()).withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
         return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     return (placed(df, own, other).groupBy("bi", "bj") for df, own, other in ((left, "bi", "bj"), (right, "bj", "bi")))
@@ -58,7 +58,8 @@ def _block_function(metric: str, reduce: str, k: int, names: Sequence[str]):
             return np.sqrt(d) if metric == "euclidean" else d
         product = x @ y.T
         if metric == "cosine":
-            return 1.0 - product / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
+            norms = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
+            return 1.0 - np.divide(product, norms, out=np.zeros_like(product), where=norms > 0)  # 1 from a zero vector
         lift = np.sqrt(1.0 + np.einsum("ij,ij->i", x, x))
         arg = np.outer(lift, np.sqrt(1.0 + np.einsum("ij,ij->i", y, y))) - product
         return np.arccosh(np.where(arg - 1.0 < 1e-6, 1.0, arg))

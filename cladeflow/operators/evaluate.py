@@ -17,13 +17,15 @@ def join_truth(inputs: DataFrame, preds: DataFrame, truth: DataFrame, key: str)
 def taxonomic_accuracy(preds: DataFrame, taxa: DataFrame, leaf: str, levels: Sequence[str], length: str) -> DataFrame:
     """`level, n, seq_acc, base_acc, present, total` from leaf classes `label` and `pred`.
 
+    Every input counts: a prediction that is NULL or no class of the taxa is wrong, and so is any for an unknown label.
     Equal (label, pred) pairs are counted first: joins and ranks then work on at most classes² rows.
     """
     pairs = preds.groupBy("label", "pred").agg(F.count(F.lit(1)).alias("_n"), F.sum(length).alias("_bases"))
     named = taxonomy.level_map(taxa, leaf, levels)
     truth = named.select(F.col("class").alias("label"), "level", F.col("taxon").alias("_truth"))
     guess = named.select(F.col("class").alias("pred"), "level", F.col("taxon").alias("_guess"))
-    rows = pairs.join(truth, "label").join(guess, ["pred", "level"])
+    every = pairs.select("*", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    rows = every.join(truth, ["label", "level"], "left").join(guess, ["pred", "level"], "left")
     same = F.col("_truth") == F.col("_guess")
     scored = rows.groupBy("level").agg(
         F.sum("_n").alias("n"),
@@ -108,7 +110,11 @@ def classification_report(df: DataFrame, true: str, pred: str) -> DataFrame:
 
 
 def _score_counts(df: DataFrame, label: str, score: str, keys: Sequence[str]) -> DataFrame:
-    """Positives and negatives at each distinct score, and running counts from the highest score down."""
+    """Positives and negatives at each distinct score, and running counts from the highest score down.
+
+    Rows without a score or a label are in no point and in no total.
+    """
+    df = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     by_score = df.groupBy(*keys, score).agg(
         F.sum(F.col(label).cast("bigint")).alias("_tp"), F.sum(1 - F.col(label).cast("bigint")).alias("_fp")
     )

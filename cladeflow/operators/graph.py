@@ -7,9 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from cladeflow.operators import distance, ordering
-from cladeflow.session import cut_lineage
-
-MAX_ROUNDS = 200
+from cladeflow.session import cut_lineage, scratch
 
 
 def both_directions(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -51,7 +49,7 @@ def fuzzy_graph(knn: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("src"), F.col("neighbour").alias("dst"), (p + q - p * q).alias("p"))
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """`id, component`: the smallest id of the connected component.
 
     Every round takes the least label among a node and its neighbours, then jumps to the label of that label; labels
@@ -62,7 +60,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
     if nodes is not None:
         found = found.union(nodes.select("id")).distinct()
     labels = cut_lineage(found.withColumn("component", F.col("id")))
-    for _ in range(max_rounds):
+    while True:
         offered = links.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("_offer"))
         least = labels.join(offered, "id", "left").select("id", "component", F.least("component", "_offer").alias("_least"))
         roots = least.select(F.col("id").alias("_least"), F.col("_least").alias("_jump"))
@@ -71,23 +69,30 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
         labels = new.select("id", F.col("_new").alias("component"))
         if new.where(F.col("_new") != F.col("component")).isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def bfs_levels(edges: DataFrame, comps: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """`component, id, level`: steps from the smallest node of each component."""
-    links = cut_lineage(edges)
-    seen = cut_lineage(comps.where(F.col("id") == F.col("component")).withColumn("level", F.lit(0)))
-    for step in range(1, max_rounds + 1):
-        frontier = seen.where(F.col("level") == step - 1).select(F.col("id").alias("src"), "component")
+def bfs_levels(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """`component, id, level`: steps from the smallest node of each component.
+
+    Edges go both ways, so the neighbours of a level lie in it, in the one before or in the next: only the last two
+    levels are looked up. Each level is a folder of its own; the loop ends with the first empty one.
+    """
+    spark, links, folder = edges.sparkSession, cut_lineage(edges), scratch(edges.sparkSession, "levels")
+    start = comps.where(F.col("id") == F.col("component")).select("id", "component")
+
+    def level(step: int, rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{folder}/level={step}")
+        return spark.read.schema(start.schema).parquet(f"{folder}/level={step}")
+
+    before, last, step = start.limit(0), level(0, start), 0
+    while not last.isEmpty():
+        step += 1
+        frontier = last.select(F.col("id").alias("src"), "component")
         reached = links.join(frontier, "src").select(F.col("dst").alias("id"), "component").distinct()
-        fresh = cut_lineage(reached.join(seen, "id", "left_anti").withColumn("level", F.lit(step)))
-        if fresh.isEmpty():
-            return seen.select("component", "id", "level")
-        seen = seen.unionByName(fresh.select(*seen.columns))
-        if step % 16 == 0:
-            seen = cut_lineage(seen)
-    raise RuntimeError(f"breadth-first search did not end in {max_rounds} levels")
+        before, last = last, level(step, reached.join(last.union(before).select("id"), "id", "left_anti").select("id", "component"))
+    return spark.read.schema(f"id {start.schema['id'].dataType.simpleString()}, component {start.schema['id'].dataType.simpleString()}, level int").parquet(
+        folder
+    ).select("component", "id", "level")
 
 
 def _walk_buckets():

@@ -6,26 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cladeflow.operators import ordering
-
 
 def join_hits(hits: DataFrame, tax: DataFrame, subject: str) -> DataFrame:
-    """Hits with the lineage of their subject; repeated subjects stay repeated."""
-    return hits.join(tax, subject)
-
+    """Hits with the lineage of their subject, NULL ranks where it has none; repeated subjects stay repeated."""
+    return hits.join(tax, subject, "left")
 
-def near_best(hits: DataFrame, key: Sequence[str], score: str, frac: float, hot_rows: int = ordering.HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Hits of at least `frac` of the best of their ORF, as (ordinary ORFs, ORFs with very many hits).
 
-    An ordinary ORF is looked at whole, in one shuffle. Of the others, few by their size, the best scores are aggregated
-    first and travel to the hits.
-    """
-    stats = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), F.max(score).alias("_best"))
-    cold, _ = ordering.split_hot(hits, key, stats, hot_rows=hot_rows)
-    cold = cold.withColumn("_best", F.max(score).over(Window.partitionBy(*key)))
-    best = stats.where(F.col("_rows") > hot_rows).drop("_rows")
-    hot = hits.join(F.broadcast(best), list(key))  # fewer than all hits / hot_rows
-    return tuple(part.where(F.col(score) >= F.lit(frac) * F.col("_best")).drop("_best") for part in (cold, hot))
+def near_best(hits: DataFrame, key: Sequence[str], score: str, frac: float) -> DataFrame:
+    """Hits of at least `frac` of the best of their ORF; only best scores travel to meet the hits."""
+    best = hits.groupBy(*key).agg(F.max(score).alias("_best"))
+    return hits.join(best, list(key)).where(F.col(score) >= F.lit(frac) * F.col("_best")).drop("_best")
 
 
 def hits_lca(
@@ -36,18 +26,26 @@ def hits_lca(
     score: str,
     ranks: Sequence[str],
     frac: float = 0.9,
-    hot_rows: int = ordering.HOT_ROWS,
 ) -> DataFrame:
-    """Per ORF, the ranks on which all near-best hits agree, and their mean score.
+    """Per ORF, the ranks on which all near-best hits with a lineage agree, and the mean score of all near-best hits.
 
-    A hit counts when its score is at least `frac` of the best.
+    A hit counts when its score is at least `frac` of the best. ORFs none of whose hits has a lineage stay, with NULL
+    ranks. Hits are combined by (ORF, score) before and after the shuffle; the window then sees one row per distinct
+    score, so an ORF with very many hits needs no path of its own.
     """
-    agreed = [F.when((F.min(r) == F.max(r)) & (F.count(r) == F.count(F.lit(1))), F.min(r)).alias(r) for r in ranks]
-    parts = [
-        join_hits(near, tax, subject).groupBy(*key).agg(F.count(F.lit(1)).alias("n_hits"), F.avg(score).alias(score), *agreed)
-        for near in near_best(hits, key, score, frac, hot_rows)
+    known = F.lit(True).alias("_known")
+    named = hits.join(tax.select("*", known), subject, "left")
+    known_rows = F.count("_known")
+    bounds = [f(r).alias(f"_{name}_{r}") for r in ranks for name, f in (("low", F.min), ("high", F.max))]
+    filled = [F.count(r).alias(f"_n_{r}") for r in ranks]
+    by_score = named.groupBy(*key, score).agg(F.count(F.lit(1)).alias("_rows"), known_rows.alias("_with"), *bounds, *filled)
+    best = F.max(score).over(Window.partitionBy(*key))
+    near = by_score.withColumn("_best", best).where(F.col(score) >= F.lit(frac) * F.col("_best"))
+    agreed = [
+        F.when((F.min(f"_low_{r}") == F.max(f"_high_{r}")) & (F.sum(f"_n_{r}") == F.sum("_with")), F.min(f"_low_{r}")).alias(r) for r in ranks
     ]
-    return parts[0].unionByName(parts[1])
+    mean = F.sum(F.col(score) * F.col("_rows")) / F.sum("_rows")
+    return near.groupBy(*key).agg(F.sum("_rows").alias("n_hits"), mean.alias(score), *agreed)
 
 
 def aggregate_orfs(orfs: DataFrame, key: Sequence[str], score: str, ranks: Sequence[str], cutoff: float = 0.5) -> DataFrame:

@@ -75,6 +75,13 @@ def salted_join(
     return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
+def same_keys_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys of which NULL equals NULL."""
+    right = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    met = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
+    return (left.join(right, met) if met else left.crossJoin(right)).drop(*[f"_same_{k}" for k in keys])
+
+
 def _carry(totals: DataFrame, keys: list[str], levels: list[str], sums: list[str], lasts: list[str]) -> DataFrame:
     """Per bucket, what all earlier buckets of the same key add up to."""
     inner_keys, at = keys + levels[:-1], levels[-1]
@@ -93,7 +100,7 @@ def _carry(totals: DataFrame, keys: list[str], levels: list[str], sums: list[str
     )
     above = _carry(coarse, keys, levels[:-1], sums, lasts)
     renamed = above.select(*inner_keys, *[F.col(c).alias(f"_up{c}") for c in sums + lasts])
-    return carried.join(renamed, inner_keys).select(
+    return same_keys_join(carried, renamed, inner_keys).select(
         *keys,
         *levels,
         *[(F.col(c) + F.col(f"_up{c}")).alias(c) for c in sums],
@@ -121,7 +128,7 @@ def prefix(
     """Running sums and last non-NULL values per key in the order `(buckets, order)`.
 
     `inclusive=False` leaves the current row out, which turns a running last value into a lag. Bucket columns must be
-    monotone in `order` and, like the keys, not NULL.
+    monotone in `order`, NULL where it is and so first. NULL keys are one key.
     """
     rows, levels = with_buckets(df, buckets)
     return prefix_over(rows, keys, levels, order, sums, lasts, inclusive).drop(*levels)
@@ -153,7 +160,7 @@ def prefix_over(
         *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"_l{n}") for n, c in sums.items()],
         *[F.last(c, ignorenulls=True).over(local).alias(f"_l{n}") for n, c in lasts.items()],
     )
-    joined = running.join(carry, place)
+    joined = same_keys_join(running, carry, place)
     return joined.select(
         *df.columns,
         *[(F.col(f"_l{n}") + F.col(f"_c{n}")).alias(n) for n in sums],
@@ -267,6 +274,7 @@ def balanced_buckets(df: DataFrame, key: str, weight: str, n: int, mode: str = "
 
     `serpentine` deals the weight-descending rank back and forth over the buckets and depends on the rows alone.
     `local` gives each item, heaviest first, to the least loaded bucket inside its partition; no global order is needed.
+    Partitions start at different buckets, so that many small ones fill all buckets alike.
     """
     if mode == "serpentine":
         w = F.col(weight).cast("bigint")
@@ -287,21 +295,24 @@ def balanced_buckets(df: DataFrame, key: str, weight: str, n: int, mode: str = "
         import numpy as np
         import pyarrow as pa
 
-        loads = [(0.0, i) for i in range(n)]
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() * 7919 % n
+        loads = [(0.0, turn, (first + turn) % n) for turn in range(n)]
         for batch in batches:
             weights = batch.column(at).to_numpy(zero_copy_only=False).astype(float)
             picked = np.empty(len(weights), dtype=np.int32)
             for i in np.argsort(-weights, kind="stable"):
-                load, slot = heapq.heappop(loads)
+                load, turn, slot = heapq.heappop(loads)
                 picked[i] = slot
-                heapq.heappush(loads, (load + weights[i], slot))
+                heapq.heappush(loads, (load + weights[i], turn, slot))
             columns = list(batch.columns) + [pa.array(picked)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "bucket"])
 
     from pyspark.sql.types import IntegerType, StructType
 
     schema = StructType([*df.schema.fields]).add("bucket", IntegerType())
-    return df.mapInArrow(deal, schema)
+    return df.sortWithinPartitions(F.col(weight).desc()).mapInArrow(deal, schema)
 
 
 def balance_report(df: DataFrame, weight: str, n: int) -> DataFrame:

@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from cladeflow.operators import distance
 from cladeflow.session import cut_lineage
 
-MAX_DEPTH = 1 << 20
-
-
 def ancestor_closure(edges: DataFrame, include_self: bool = True) -> DataFrame:
     """`node, ancestor, hops, dist` for every node and ancestor, by doubling the path length in each round.
 
@@ -32,8 +29,8 @@ def ancestor_closure(edges: DataFrame, include_self: bool = True) -> DataFrame:
             "node", F.col("_up").alias("ancestor"), (F.col("hops") + F.col("_h")).alias("hops"), (F.col("dist") + F.col("_d")).alias("dist")
         )
         known, reach = cut_lineage(known.unionByName(longer)), reach * 2
-        if reach > MAX_DEPTH:
-            raise ValueError("the edges do not form a tree: a path never ends")
+        if not known.where(F.col("node") == F.col("ancestor")).isEmpty():
+            raise ValueError("the edges do not form a tree: a node is its own ancestor")
     if not include_self:
         return known
     nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()

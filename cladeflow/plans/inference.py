@@ -17,7 +17,7 @@ def score_windows(
 
     `load_model` runs once per worker and returns a function from an integer matrix (windows × `width` residue codes) to
     a matrix of class values (windows × `n_classes`). Windows travel as text in Arrow batches; one table lookup per batch
-    turns their bytes into codes.
+    turns their bytes into codes. Residues outside the alphabet become N; a NULL window has a NULL output.
     """
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import ArrayType, DoubleType
@@ -39,7 +39,8 @@ def score_windows(
         return predict
 
     score = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch)
-    return df.withColumn(out, score(S.pad_seq(F.col(window), width)))
+    clean = S.pad_seq(S.clean_dna(F.coalesce(F.col(window), F.lit(""))), width)
+    return df.withColumn(out, F.when(F.col(window).isNotNull(), score(clean)))
 
 
 def infer_sequences(

@@ -37,8 +37,9 @@ def read_fasta(spark: SparkSession, paths: str | Sequence[str], recursive: bool
 
 
 def format_records(df: DataFrame, header: Column, seq: str, width: int = 100) -> DataFrame:
-    """FASTA text of every row, in `value`."""
-    return df.select(F.concat(F.lit(">"), header, F.lit("\n"), S.wrap(F.col(seq), width)).alias("value"))
+    """FASTA text of every row, in `value`; a record without residues is its header alone."""
+    body = F.when(F.length(seq) > 0, F.concat(F.lit("\n"), S.wrap(F.col(seq), width))).otherwise("")
+    return df.select(F.concat(F.lit(">"), header, body).alias("value"))
 
 
 def write_fasta(df: DataFrame, path: str, header: Column, seq: str, width: int = 100, compression: str = "none") -> None:

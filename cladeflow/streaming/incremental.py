@@ -47,8 +47,7 @@ def stream_hits(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ordinary, crowded = lca.near_best(batch, key, score, frac)
-        ordinary.unionByName(crowded).write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
+        lca.near_best(batch, key, score, frac).write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -13,10 +13,16 @@ def contigs(spark, **genomes):
 
 
 def brute_stats(lengths):
-    lengths = np.sort(lengths)[::-1]
-    cum = np.cumsum(lengths)
-    at = [int(np.nonzero(cum > share * cum[-1])[0][0]) for share in (0.5, 0.9)]
-    return int(lengths[at[0]]), at[0] + 1, int(lengths[at[1]]), at[1] + 1
+    """Add contigs, longest first, until they hold strictly more than the share."""
+    found = []
+    for share in (0.5, 0.9):
+        held, used, waiting = 0, 0, list(lengths)
+        while held <= share * sum(lengths):
+            longest = max(waiting)
+            waiting.remove(longest)
+            held, used = held + longest, used + 1
+        found += [longest, used]
+    return tuple(found)
 
 
 def test_assembly_statistics_use_a_strict_threshold(spark):
@@ -138,14 +144,13 @@ def brute_lca(hits, tax, frac):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [5, 10**9])
-def test_hits_lca_with_and_without_crowded_orfs(spark, hot_rows):
+def test_hits_lca_of_ordinary_and_crowded_orfs(spark):
     rng = random.Random(3)
     tax = {s: (f"d{s % 2}", f"p{s % 4}" if s != 5 else None) for s in range(12)}
     rows = [(0 if rng.random() < 0.4 else rng.randrange(1, 40), rng.randrange(12), float(rng.randrange(80, 100))) for _ in range(400)]
     hits = pd.DataFrame(rows, columns=["orf", "subject", "score"])
     taxa = spark.createDataFrame([(s, *t) for s, t in tax.items()], "subject long, domain string, phylum string")
-    found = lca.hits_lca(spark.createDataFrame(hits), taxa, ["orf"], "subject", "score", ["domain", "phylum"], 0.9, hot_rows)
+    found = lca.hits_lca(spark.createDataFrame(hits), taxa, ["orf"], "subject", "score", ["domain", "phylum"], 0.9)
     rows = {r["orf"]: (r["score"], r["domain"], r["phylum"]) for r in found.collect()}
     want = brute_lca(hits, tax, 0.9)
     assert rows.keys() == want.keys()
@@ -153,6 +158,32 @@ def test_hits_lca_with_and_without_crowded_orfs(spark, hot_rows):
         assert rows[orf][0] == pytest.approx(value[0]) and rows[orf][1:] == value[1:]
 
 
+def test_hits_without_a_lineage_stay(spark):
+    hits = spark.createDataFrame([("o", "s1", 10.0), ("o", "s2", 9.5), ("o2", "s2", 4.0)], "orf string, subject string, score double")
+    taxa = spark.createDataFrame([("s1", "d1")], "subject string, domain string")
+    found = {r["orf"]: (r["n_hits"], r["score"], r["domain"]) for r in lca.hits_lca(hits, taxa, ["orf"], "subject", "score", ["domain"]).collect()}
+    assert found == {"o": (2, 9.75, "d1"), "o2": (1, 4.0, None)}
+
+
+def test_unclassified_sequences_count_as_wrong(spark):
+    seqs = spark.createDataFrame([(0, 0, 10), (0, None, 10), (0, 7, 20)], "label int, pred int, length long")
+    taxa = spark.createDataFrame([(0, 5), (1, 5)], "species int, genus int")
+    found = {r["level"]: r for r in evaluate.taxonomic_accuracy(seqs, taxa, "species", ["genus", "species"], "length").collect()}
+    for row in found.values():
+        assert (row["n"], row["seq_acc"], row["base_acc"]) == (3, pytest.approx(1 / 3), 0.25)
+
+
+def test_null_scores_are_in_no_curve(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, None), (0, None)], "y int, s double")
+    assert evaluate.roc_auc(df, "y", "s").first()["auc"] == 1.0
+    assert [(r["fpr"], r["tpr"]) for r in evaluate.roc_curve(df, "y", "s").orderBy("fpr", "tpr").collect()] == [(0.0, 1.0), (1.0, 1.0)]
+
+
+def test_assembly_statistics_keep_the_null_genome(spark):
+    rows = spark.createDataFrame([(None, 4), (None, 2), ("a", 5)], "genome string, length long")
+    assert {r["genome"]: r["n_ctgs"] for r in aggregate.assembly_stats(rows, "genome", "length").collect()} == {None: 2, "a": 1}
+
+
 def test_orfs_without_a_taxon_count_in_the_total(spark):
     rows = [("s1", 4.0, "d1", "p1"), ("s1", 3.0, "d1", None), ("s1", 2.0, "d2", "p2"), ("s2", 1.0, None, None)]
     orfs = spark.createDataFrame(rows, "seq string, score double, domain string, phylum string")

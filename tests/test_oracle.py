@@ -3,14 +3,14 @@
 import pytest
 
 import __spark_entry__ as entry
+from catalog.registry import ORACLES, QUERIES
 from compare import connect, same
 
-ORACLES = entry.oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, name):
-    df = entry.queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     if name in ORACLES:
         ok, message = same(df, connect(sf_dir), ORACLES[name])
         assert ok, message
@@ -23,4 +23,4 @@ def test_entry(spark, sf_dir):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())

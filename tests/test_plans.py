@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from catalog.common import table
+from catalog.registry import QUERIES
 from cladeflow.operators import windows
 
 # Python runs where a user model, vector blocks or a table function ask for it, and in the two fitted models.
@@ -17,22 +17,22 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-LAZY = sorted(n for n in entry.queries() if not n.startswith(EAGER))
+LAZY = sorted(n for n in QUERIES if not n.startswith(EAGER))
 
 
 @pytest.mark.parametrize("name", LAZY)
 def test_no_nested_loops_and_no_python(spark, sf_dir, name):
-    text = plan(entry.queries()[name](spark, sf_dir))
+    text = plan(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     if name not in PYTHON:
         assert "ArrowEvalPython" not in text and "BatchEvalPython" not in text and "MapInArrow" not in text
 
 
 def test_columns_and_filters_reach_the_scan(spark, sf_dir):
-    text = plan(entry.queries()["u03_drop_keys"](spark, sf_dir))
+    text = plan(QUERIES["u03_drop_keys"](spark, sf_dir))
     assert "PushedFilters: [IsNotNull(l_returnflag)" in text and "l_comment" not in text
     assert "ReadSchema: struct<p_partkey:bigint>" in text
-    counts = plan(entry.queries()["c07_dataset_stats"](spark, sf_dir))
+    counts = plan(QUERIES["c07_dataset_stats"](spark, sf_dir))
     assert "Generate" not in counts
 
 
@@ -46,5 +46,5 @@ def test_windows_need_no_shuffle(spark, sf_dir):
 
 
 def test_split_permutation_travels_without_residues(spark, sf_dir):
-    text = plan(entry.queries()["a18_hits_lca"](spark, sf_dir))
+    text = plan(QUERIES["a18_hits_lca"](spark, sf_dir))
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_extendedprice:double>" in text

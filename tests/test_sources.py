@@ -78,12 +78,12 @@ def test_profiler_tables_per_rank(spark, tmp_path):
         rows = [f"[Strategy]a{i}  |  1.0  |  {rank * 100 + i}  |  5 %" for i in range(32)]
         return "\n".join(["noise | x", "Action  |  Mean  |  Total time (s)  |  Percentage %", "-" * 20, f"Total  |  -  |  {rank + 9}  |  100 %", "-" * 9, *rows, *extra])
 
-    text = report(0, ["late  |  1  |  1  |  1 %"]) + "\nnot a table\n" + report(1, [])
+    text = report(0, ["late  |  1  |  1  |  1 %"]) + "\nnot a table\nstray  |  1  |  1  |  1 %\n" + report(1, [])
     path = write(f"{tmp_path}/job_n4_g8_b32_x.log", text)
     rows = logs.parse_profile_logs(spark, path).collect()
-    assert len(rows) == 2 * 33
+    assert len(rows) == 2 * 33 + 1
     by = {(r["rank"], r["action"]): r for r in rows}
-    assert by[1, "[Strategy]a31"]["total"] == 131 and by[1, "total"]["total"] == 10 and (0, "late") not in by
+    assert by[1, "[Strategy]a31"]["total"] == 131 and by[1, "total"]["total"] == 10 and by[0, "late"]["total"] == 1
     assert (rows[0]["n_nodes"], rows[0]["n_gpu"], rows[0]["batch_size"]) == (4, 8, 32)
     wide = logs.pivot_actions(logs.parse_profile_logs(spark, path), ["total"]).collect()
     assert {(r["rank"], r["total"]) for r in wide} == {(0, 9.0), (1, 10.0)}
