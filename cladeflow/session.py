@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_spark(master: str | None = None, **conf: str) -> SparkSession:
@@ -68,10 +69,22 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
-    """Write rows to the shared folder and read them back: compressed, readable by column, safe from lost executors."""
-    folder = scratch(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    """Write rows to the shared folder and read them back: compressed, readable by column, safe from lost executors.
+
+    The shuffle files of the write are of no further use and go with it.
+    """
+    spark = df.sparkSession
+    folder = scratch(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
