@@ -18,7 +18,7 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nn_descent.vector_groups(table(spark, sf_dir, "embeddings"))
+    return nn_descent.vector_groups(table(spark, sf_dir, "embeddings")).drop("audited_recall")
 
 
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +94,47 @@ SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM rates"""
 
-ORACLES = {"op9_source_mix": _OP9}
+# The least capacity follows from the best split of each prefix of groups into k runs, which needs no search.
+_STEPS = "".join(
+    f""",
+d{k} AS MATERIALIZED (SELECT g.i, min(greatest(d.cap, g.ends - h.ends)) AS cap FROM g JOIN d{k - 1} d ON d.i <= g.i JOIN g0 h ON h.i = d.i GROUP BY g.i
+  UNION ALL SELECT 0, 0)"""
+    for k in range(2, shards.SHARDS + 1)
+)
+_OP2 = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size, md5(coalesce(text, '')) AS key,
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS slot_key FROM documents),
+crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+bytes AS (SELECT key, hex(encode(text)) AS h FROM docs GROUP BY ALL),
+crcs AS MATERIALIZED (
+  SELECT key, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS crc FROM bytes, crc_table),
+g AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY key) AS i, key, sum(sum(size)) OVER (ORDER BY key) AS ends FROM docs GROUP BY key),
+g0 AS MATERIALIZED (SELECT i, ends FROM g UNION ALL SELECT 0, 0),
+d1 AS MATERIALIZED (SELECT i, ends AS cap FROM g0){_STEPS},
+best AS (SELECT cap FROM d{shards.SHARDS} ORDER BY i DESC LIMIT 1),
+cuts AS (
+  SELECT 0 AS k, CAST(0 AS HUGEINT) AS cut
+  UNION ALL SELECT k + 1, (SELECT max(ends) FROM g0 WHERE ends <= cut + (SELECT cap FROM best)) FROM cuts WHERE k < {shards.SHARDS - 1}),
+placed AS (
+  SELECT d.*, (SELECT count(*) FROM cuts WHERE k > 0 AND g.ends > cut) AS shard FROM docs d JOIN g ON d.key = g.key)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY slot_key, p.key) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed p JOIN crcs ON p.key = crcs.key"""
+
+_OP3 = f"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok FROM embeddings),
+links AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.ok AND b.ok
+  AND list_cosine_similarity(a.e, b.e) >= {nn_descent.THRESHOLD}),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+parts AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degrees AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN parts ON vec_id = parts.x LEFT JOIN degrees ON vec_id = degrees.x"""
+
+ORACLES = {"op2_minimax_shards": _OP2, "op3_nn_descent": _OP3, "op9_source_mix": _OP9}
