@@ -52,6 +52,23 @@ def score_windows(spark, sf):
     return means.select("genome_id", "seq_id", "n_chunks", *[F.round(F.get("p", i), 6).alias(f"p{i}") for i in range(CLASSES)])
 
 
+@catalog.add("x08_classify_sequences", f"""
+WITH {SCORED_CTE}, m AS (SELECT genome_id, seq_id, avg(p0) AS a, avg(p1) AS b, avg(p2) AS c FROM p GROUP BY genome_id, seq_id),
+x AS (SELECT *, greatest(a, b, c) AS score, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS pred FROM m)
+SELECT genome_id, seq_id, round(score, 6) AS score, 'f' || pred // 2 AS family, 's' || pred AS species FROM x""")
+def classify_sequences(spark, sf):
+    """From residues to a table of classified sequences: windows, model, means, taxa."""
+    seqs = sequences(spark, sf).select("seq_id", "genome_id", "seq")
+    outputs = inference.infer_sequences(seqs, "seq", WIDTH, STEP, linear_model(), CLASSES)
+    species = spark.range(CLASSES).select(
+        F.col("id").cast("int").alias("leaf"),
+        F.concat(F.lit("f"), F.expr("id div 2").cast("string")).alias("family"),
+        F.concat(F.lit("s"), F.col("id").cast("string")).alias("species"),
+    )
+    found = inference.classify_sequences(outputs, species, "leaf", ["family", "species"], "genome_id", "seq_id")
+    return found.withColumn("score", F.round("score", 6))
+
+
 SUMMARY_SQL = f"""
 WITH {MEANS_CTE}, g AS (SELECT seq_id % 4 AS genome_id, level, taxon, p, n FROM
   (SELECT seq_id, class, sum(p) AS p, count(*) AS n FROM probs GROUP BY ALL) JOIN level_map USING (class)),

@@ -287,9 +287,14 @@ def zero_fill(spark, sf):
 
 
 @catalog.add("p01_filter_ncbi", f"""
-WITH {META_CTE} SELECT p_partkey, accession FROM meta WHERE regexp_matches(accession, '^(RS_|GB_)?GC[AF]_')""")
+WITH {META_CTE}, r AS (SELECT p_size AS kind, arg_max(accession, p_partkey) AS rep FROM meta JOIN part USING (p_partkey) GROUP BY p_size),
+m AS (SELECT p_partkey, accession, p_size FROM meta JOIN part USING (p_partkey))
+SELECT p_partkey, accession, rep FROM m JOIN r ON p_size = kind
+WHERE regexp_matches(accession, '^(RS_|GB_)?GC[AF]_') AND regexp_matches(rep, '^(RS_|GB_)?GC[AF]_')""")
 def filter_ncbi(spark, sf):
-    return filters.filter_ncbi(metadata(spark, sf), "accession").select("p_partkey", "accession")
+    meta = metadata(spark, sf)
+    reps = meta.groupBy("contig_count").agg(F.max_by("accession", "p_partkey").alias("rep"))
+    return filters.filter_ncbi(meta.join(reps, "contig_count"), "accession", "rep").select("p_partkey", "accession", "rep")
 
 
 @catalog.add("p02_filter_reps", f"""
