@@ -206,3 +206,15 @@ def test_knn_is_reduced_when_there_are_few(spark):
     assert p[1, 2] == pytest.approx(p[2, 1]) and all(0 < v <= 1 for v in p.values())
     assert graph.knn_graph(d, 5, spark.createDataFrame([(1,), (2,)], "id long")).count() == 2
     assert ordering.BLOCK_BITS == 16
+
+
+def test_null_and_zero_vectors_fail_nothing(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, 1.0])], "id long, v array<double>")
+    found = {r["id"]: (r["n"], r["min_d"], r["max_d"]) for r in distance.distance_profile(rows, "id", "v", "cosine").collect()}
+    assert set(found) == {0, 1, 3} and found[1] == (2, 1.0, 1.0) and found[0][0] == 2 and not any(v != v for r in found.values() for v in r)
+
+
+def test_a_cycle_is_no_tree(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("c", "a", 1.0)], "child string, parent string, length double")
+    with pytest.raises(ValueError, match="own ancestor"):
+        trees.ancestor_closure(edges)

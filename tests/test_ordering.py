@@ -127,3 +127,15 @@ def test_sampling_is_repeatable(skewed):
     assert a == b and len(a) == 50
     share = ordering.sample_fraction(df, "id", 0.3, 9).count()
     assert 0.25 < share / 3000 < 0.35
+
+
+def test_small_partitions_fill_all_buckets(spark):
+    items = spark.range(4000).withColumn("w", F.lit(1).cast("long")).repartition(1000)
+    report = ordering.balance_report(ordering.balanced_buckets(items, "id", "w", 64, mode="local"), "w", 64).collect()
+    assert len(report) == 64 and report[0]["max_over_mean"] <= 1.6
+
+
+def test_null_keys_and_orders_keep_their_rows(spark):
+    rows = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", None, 7), ("a", 3, 8)], "k string, o long, v long")
+    found = ordering.prefix(rows, ["k"], [F.shiftright("o", 4)], [F.col("o")], sums={"total": F.col("v")}).collect()
+    assert sorted((r["k"] or "", r["o"] or 0, r["total"]) for r in found) == [("", 1, 5), ("", 2, 11), ("a", 0, 7), ("a", 3, 15)]
