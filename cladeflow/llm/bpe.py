@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, types as T
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{W}{L}{N}]+|[{W}]+(?![^{W}])|[{W}]+"
 
 #: Pieces that a worker remembers in each of two generations, and the longest of them; others are merged anew.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 48
+REMEMBERED, REMEMBERED_CHARS = 200_000, 48
 #: Bits of an id in a packed pair.
 PACK = 24
 _ID = (1 << PACK) - 1
@@ -183,13 +183,20 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(sent)
-        for batch in batches:
+        for batch in _parts(batches):
             ids = [bpe.encode(t or "") for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], _lists(ids)], names=[*kept, out])
 
     return df.mapInArrow(run, schema)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller parts, so that a worker holds the tokens of few texts at once."""
+    for batch in batches:
+        for i in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(i, rows)
+
+
 def _lists(ids: list[bytes]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32()))
@@ -203,7 +210,7 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(sent)
-        for batch in batches:
+        for batch in _parts(batches):
             ids = [bpe.encode(t or "") for t in batch.column(text_col).to_pylist()]
             texts = pa.array([bpe.decode(np.frombuffer(x, dtype="<i4").tolist()) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], _lists(ids), texts], names=[*kept, "ids", "decoded"])
@@ -219,7 +226,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(sent)
-        for batch in batches:
+        for batch in _parts(batches):
             texts = pa.array([bpe.decode(x.values.tolist() if x.is_valid else []) for x in batch.column(ids_col)], pa.string())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], texts], names=[*kept, out])
 

@@ -17,7 +17,7 @@ STEPS, RATE, RIDGE = 200, 0.3, 3e-4
 TELLING = 4.0
 GRADES = 3
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 # Signs that make a word's shape.
 _SHAPES = {**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}}
