@@ -164,6 +164,40 @@ def test_fuzzy_lines_equal_all_pairs(spark):
     assert links > 5 and {r["doc_id"]: r["text"] for r in found} == want
 
 
+def kept_lines(spark, lines):
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return {r["doc_id"] for r in fuzzy_lines.dedup_lines(rows).select("row.doc_id", "text").collect() if r["text"]}
+
+
+def all_pairs_kept(lines):
+    """The first line of each group by word edits alone."""
+    words = [line.split() for line in lines]
+    links = [(i, j) for i in range(len(words)) for j in range(i) if 5 * edits(words[i], words[j]) <= max(len(words[i]), len(words[j]))]
+    return set(groups_of(len(words), links))
+
+
+def test_lines_are_linked_by_edits_alone(spark):
+    rng = random.Random(11)
+    lines = []
+    for n in [*range(3, 34), 40, 64, 90]:
+        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        lines.append(" ".join(base))
+        for most in (n // 5, n // 5, n // 5 + 1, n // 5 + 1):
+            words = list(base)
+            for _ in range(most):
+                at = rng.randrange(len(words))
+                rng.choice((lambda: words.pop(at), lambda: words.insert(at, f"x{rng.randrange(10**6)}"), lambda: words.__setitem__(at, f"y{rng.randrange(10**6)}")))()
+            lines.append(" ".join(words))
+    lines = sorted(set(lines), key=lines.index)
+    assert kept_lines(spark, lines) == all_pairs_kept(lines)
+
+
+def test_lines_of_one_simhash_are_all_compared(spark):
+    lines = [" ".join(["-"] * n) for n in (200, 90, 6, 7, 30, 33, 60, 64, 85, 12)] + [" ".join(["0"] * n + [f"e{n}"]) for n in (40, 100, 43, 20, 104)]
+    kept = all_pairs_kept(lines)
+    assert kept_lines(spark, lines) == kept and 5 < len(kept) < len(lines)
+
+
 def test_lines_of_odd_tables(spark):
     rows, empty = frames(spark)
     found = fuzzy_lines.dedup_lines(rows).select("row.doc_id", F.col("row.text").alias("given"), "text", "n_lines", "n_dropped").collect()
