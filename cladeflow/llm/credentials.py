@@ -94,7 +94,7 @@ def _in_scopes(parts: DataFrame, reach: int) -> DataFrame:
 
 
 def linked_parts(parts: DataFrame) -> DataFrame:
-    """Of parts `at, start, kind, end` those that meet a complementary part within `SCOPE` code points in the same text.
+    """Of parts `at, start, kind, end` those that meet a disjoint complementary part within `SCOPE` code points in the same text.
 
     Secrets are joined with access identifiers and endpoints by text and bucket of positions, so a long text is spread
     over its buckets; both directions are semi joins and give no pairs.
@@ -105,6 +105,7 @@ def linked_parts(parts: DataFrame) -> DataFrame:
     meet = (
         (F.col("x.at") == F.col("y.at")) & (F.col("x._scope") == F.col("y._scope"))
         & (F.col("x.start") <= F.col("y.end") + SCOPE) & (F.col("x.end") + SCOPE >= F.col("y.start"))
+        & ((F.col("x.end") <= F.col("y.start")) | (F.col("y.end") <= F.col("x.start")))
     )
     both = x.join(y, meet, "left_semi").unionByName(y.join(x, meet, "left_semi"))
     return both.select("at", "start", "kind", "end").distinct()
@@ -114,14 +115,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """`doc_id, base, linked`: spans (`array<struct<start, kind, end>>`, kind as index into `KINDS`) of every whole text.
 
     `base` has the matches of the base patterns. `linked` has the weak parts that are reported because a complementary
-    part stands in their scope: a blob that no base span covers beside an identifier or endpoint, an identifier or
-    endpoint beside a secret. Null texts count as empty and have no spans; null and repeated ids are kept row by row; an
+    part stands in their scope: a blob beside an identifier or endpoint, an identifier or endpoint beside a secret. The two
+    are different places: a blob that overlaps a base span, an identifier or an endpoint is a part of that, and no secret. Null texts count as empty and have no spans; null and repeated ids are kept row by row; an
     empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text"))
     found = with_spans(texts, "_text", BASE | WEAK).drop("_text")
     base = F.concat(*[F.col(k) for k in BASE])
-    free = F.filter("blob", lambda b: ~F.exists("_base", lambda s: (s["start"] < b["end"]) & (b["start"] < s["end"])))
+    others = F.concat("_base", "identifier", "endpoint")
+    free = F.filter("blob", lambda b: ~F.exists(others, lambda s: (s["start"] < b["end"]) & (b["start"] < s["end"])))
     rows = found.select(F.monotonically_increasing_id().alias("at"), "doc_id", base.alias("_base"), *WEAK)
     rows = settle(rows.select("at", "doc_id", F.col("_base").alias("base"), F.concat(free, "identifier", "endpoint").alias("weak")), "spans")
     parts = rows.where(F.size("weak") > 0).select("at", F.explode(F.concat("base", "weak")).alias("s")).select("at", "s.*")

@@ -108,6 +108,14 @@ def test_weak_parts_count_only_together(spark):
     }
 
 
+def test_no_part_is_its_own_partner(spark):
+    url, user = "https://github.com/apache/spark/tree/master/docs", "user_id=abcdefghijklmnopqrst"
+    texts = [url, f"see {url} and {url}", user, f"{user} {url}", "user_id=0123456789abcdef01234567", f"{url} token=abcdefgh", f"{user} ZmFrZVNlY3JldFZhbHVlMTIz"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = {r["doc_id"]: [s.split(":")[0] for s in r["spans"].split(",") if s] for r in credentials.secret_report(rows).collect()}
+    assert kinds == {0: [], 1: [], 2: [], 3: [], 4: ["hex"], 5: ["endpoint", "assign"], 6: ["identifier", "blob"]}
+
+
 def test_secrets_of_odd_tables(spark):
     rows, empty = frames(spark)
     found = credentials.secret_report(rows)
