@@ -121,7 +121,10 @@ def top_lists(edges: DataFrame, k: int) -> DataFrame:
 
 
 def local_join(lists: DataFrame, vectors: DataFrame, k: int, width: int, centres: DataFrame | None = None) -> DataFrame:
-    """`u, v, s`: for each vector, its neighbours and the vectors it is a neighbour of meet, and offer each other."""
+    """`u, v, s`: for each vector, its neighbours and the vectors it is a neighbour of meet, and offer each other.
+
+    Links that connect the groups of a meeting are offered as well, whether or not they are among the nearest.
+    """
     reverse = Window.partitionBy("v").orderBy(F.col("s").desc(), "u")
     back = lists.withColumn("_rank", F.row_number().over(reverse)).where(F.col("_rank") <= k).select(F.col("v").alias("u"), F.col("u").alias("v"))
     around = lists.select("u", "v").unionByName(back).unionByName(lists.select("u", F.col("u").alias("v"))).distinct()
@@ -139,7 +142,8 @@ def local_join(lists: DataFrame, vectors: DataFrame, k: int, width: int, centres
                 sims = x @ x.T
                 np.fill_diagonal(sims, -1.0)
                 rows, columns = _best(sims, k)
-                for out, values in zip(found, (c[rows], c[columns], sims[rows, columns])):
+                a, b = _spanning(sims >= THRESHOLD)
+                for out, values in zip(found, (c[np.r_[rows, a]], c[np.r_[columns, b]], np.r_[sims[rows, columns], sims[a, b]])):
                     out.append(values)
             u, v, s = (np.concatenate(x) if x else np.array([]) for x in found)
             yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(s.astype(np.float64))], names=["u", "v", "s"])
@@ -147,11 +151,21 @@ def local_join(lists: DataFrame, vectors: DataFrame, k: int, width: int, centres
     return meeting.mapInArrow(offer, "u long, v long, s double")
 
 
+def links_of(edges: DataFrame) -> DataFrame:
+    """The edges at the threshold."""
+    return edges.where(F.col("s") >= THRESHOLD).select("u", "v")
+
+
 def descend(edges: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
-    """Refine a starting graph until few list entries change, then once more with longer lists where they are saturated."""
-    lists = settle(top_lists(edges, NEIGHBOURS), "lists")
+    """`u, v`: links found from a starting graph, refined until few list entries change, then once more with longer lists.
+
+    Lists are cut at their nearest entries, so links that join tight groups do not last in them. All links of the starting
+    graph and of the offers count, before lists are cut.
+    """
+    lists, links = settle(top_lists(edges, NEIGHBOURS), "lists"), links_of(edges)
     for _ in range(ROUNDS):
-        offers = local_join(lists, vectors, NEIGHBOURS, width)
+        offers = settle(local_join(lists, vectors, NEIGHBOURS, width).groupBy("u", "v").agg(F.max("s").alias("s")), "offers")
+        links = links.unionByName(links_of(offers))
         new = settle(top_lists(lists.unionByName(offers), NEIGHBOURS), "lists")
         entries = new.count()
         moved = new.join(lists, ["u", "v"], "left_anti").count()
@@ -161,9 +175,8 @@ def descend(edges: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
     full = lists.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("least")).where((F.col("n") >= NEIGHBOURS) & (F.col("least") >= THRESHOLD))
     full = settle(full.select("u"), "saturated")
     if full.isEmpty():
-        return lists
-    offers = local_join(lists, vectors, ENLARGED, width, centres=full)
-    return settle(top_lists(lists.unionByName(offers), ENLARGED), "lists")
+        return links
+    return links.unionByName(links_of(local_join(lists, vectors, ENLARGED, width, centres=full)))
 
 
 def count_links(groups: DataFrame, width: int) -> DataFrame:
@@ -234,9 +247,8 @@ def vector_groups(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     n, width = known["n"], known["width"] or 1
     edges, recall = None, 0.0
     for turn in range(TRIES):
-        lists = descend(settle(starting_graph(vectors, n, width, 3 + turn), "start"), vectors, width)
-        linked = lists.where(F.col("s") >= THRESHOLD).select("u", "v")
-        edges = linked if edges is None else edges.unionByName(linked)
+        linked = descend(settle(starting_graph(vectors, n, width, 3 + turn), "start"), vectors, width)
+        edges = settle((linked if edges is None else edges.unionByName(linked)).distinct(), "edges")
         groups = settle(components(edges, "u", "v"), "groups")
         members = groups.select(F.col("node").alias("c"), "component").join(vectors, "c")
         counted = settle(count_links(members.select("component", "c", "vec", "n"), width), "counted")

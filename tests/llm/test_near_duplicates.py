@@ -245,6 +245,22 @@ def test_vector_links_equal_all_pairs(spark):
     assert all(found[i]["kept"] == (groups[i] == i) for i in range(len(rows)))
 
 
+def vectors_found(spark, rows):
+    found = {r["vec_id"]: r for r in nn_descent.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    return [found[i]["n_links"] for i in range(len(rows))], [found[i]["component_id"] for i in range(len(rows))]
+
+
+def test_links_between_two_tight_groups(spark):
+    rng = np.random.default_rng(8)
+    angle = np.arccos(0.935)
+    centres = np.zeros((2, 32))
+    centres[0, 0], centres[1, :2] = 1, (np.cos(angle), np.sin(angle))
+    rows = [(i, (centres[i % 2] + 0.005 * rng.standard_normal(32)).astype(np.float32).tolist()) for i in range(120)]
+    counts, groups = brute_vectors(rows)
+    assert min(counts) == 119 and set(groups) == {0}
+    assert vectors_found(spark, rows) == (counts, groups)
+
+
 def test_vector_blocks_add_up(spark):
     rng = np.random.default_rng(7)
     centre = rng.standard_normal(8)
