@@ -261,6 +261,20 @@ def test_links_between_two_tight_groups(spark):
     assert vectors_found(spark, rows) == (counts, groups)
 
 
+def test_audit_sees_lost_pairs(spark):
+    rng = np.random.default_rng(9)
+    centres = [rng.standard_normal(32) for _ in range(51)]
+    rows = [(i, (centres[i // 2] + 0.01 * rng.standard_normal(32)).astype(np.float32).tolist(), 1000) for i in range(100)]
+    rows += [(i, (centres[50] + 0.01 * rng.standard_normal(32)).astype(np.float32).tolist(), 1000) for i in range(100, 200)]
+    # Half of the pairs are lost, the large group is not.
+    found = [(i, 2000 if i < 50 else 1000, int(i < 50)) for i in range(100)] + [(i, 100_000, 99) for i in range(100, 200)]
+    vectors = spark.createDataFrame(rows, "c long, vec array<float>, n long")
+    assert nn_descent.audit(vectors, spark.createDataFrame(found, "c long, links long, others long"), 32) == 0.75
+    for n in (2_500, 100_000, 1_000_000, 10_000_000):
+        shared = (1 - np.arccos(0.9) / np.pi) ** nn_descent.planes_of(n)
+        assert 1 - (1 - shared) ** nn_descent.tables_of(n) >= 0.99
+
+
 def test_vector_blocks_add_up(spark):
     rng = np.random.default_rng(7)
     centre = rng.standard_normal(8)
