@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cladeflow.llm import bpe, credentials, fuzzy_lines, html_suffix, iblt, mixing, nn_descent, ordinal, shards, trie_simhash
+from cladeflow.llm import (
+    bpe, credentials, fuzzy_lines, html_suffix, iblt, mixing, nn_descent, ordinal, piece_bpe, prefix_trie, shards, trie_simhash, whitening,
+)
 from cladeflow.llm.common import WORD, table
 
 
@@ -63,11 +65,30 @@ def op10_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = piece_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_host_suffix_array, op2_minimax_shards, op3_nn_descent, op4_ordinal_quality, op5_credential_links, op6_fuzzy_lines, op7_bpe,
-        op8_trie_simhash, op9_source_mix, op10_iblt,
+        op8_trie_simhash, op9_source_mix, op10_iblt, op11_spectrum_whitening, op12_prefix_trie, op13_piece_bpe,
     )
 }
 
@@ -137,4 +158,38 @@ degrees AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM v JOIN parts ON vec_id = parts.x LEFT JOIN degrees ON vec_id = degrees.x"""
 
-ORACLES = {"op2_minimax_shards": _OP2, "op3_nn_descent": _OP3, "op9_source_mix": _OP9}
+# The trie by its paths of turn digests: sums over a subtree go to all beginnings of each path.
+_OP12 = f"""
+WITH crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) || ' ' || length(coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id, hex(encode(CAST(conv_id AS VARCHAR))) AS h FROM turns),
+crcs AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % {prefix_trie.HEADS} AS heads FROM ids, crc_table),
+joined AS (
+  SELECT c.conv_id, 0 AS own, b.pos, b.t FROM crcs c JOIN turns b ON b.conv_id = c.conv_id - c.conv_id % {prefix_trie.FAMILY} AND b.pos <= heads
+  UNION ALL SELECT c.conv_id, 1, b.pos, b.t FROM crcs c JOIN turns b ON b.conv_id = c.conv_id AND b.pos > heads),
+rebuilt AS (
+  SELECT conv_id, coalesce(list(t ORDER BY own, pos) FILTER (WHERE t IS NOT NULL), []) AS path FROM (
+    SELECT * FROM joined UNION ALL SELECT conv_id, 2, NULL, NULL FROM crcs) GROUP BY conv_id),
+prefixes AS (SELECT conv_id, d, path[1:d] AS path, d = len(path) AS ends FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY path, d),
+children AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+parts AS (
+  SELECT nodes.path, nodes.d, (n_convs - 1) * CAST(split_part(nodes.path[nodes.d], ' ', 2) AS BIGINT) AS saved, children.n IS NULL AS leaf
+  FROM nodes LEFT JOIN children ON nodes.path = children.path),
+sums AS (
+  SELECT path[1:j] AS path, sum(saved) AS saved, count_if(leaf) AS leaves
+  FROM (SELECT *, unnest(range(d + 1)) AS j FROM parts) GROUP BY ALL)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(coalesce(s.saved, 0) AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON n.path = s.path LEFT JOIN children c ON n.path = c.path LEFT JOIN nodes p ON n.d > 0 AND p.path = n.path[1:n.d - 1]"""
+
+ORACLES = {"op2_minimax_shards": _OP2, "op3_nn_descent": _OP3, "op9_source_mix": _OP9, "op12_prefix_trie": _OP12}
