@@ -94,15 +94,18 @@ class PieceBpe:
         self.size = len(pieces)
         self.bytes = [b""] * self.size
         self.byte_ids = np.zeros(256, dtype=np.int32)
-        self.is_byte = np.zeros(self.size, dtype=bool)
+        #: Pieces that start with an escaped space; in the bytes of pieces it is a space, while three byte pieces may still spell it.
+        self.opens = set()
         for i, (text, _, kind) in enumerate(pieces):
             if kind == BYTE:
                 byte = int(text[3:5], 16)
-                self.byte_ids[byte], self.bytes[i], self.is_byte[i] = i, bytes([byte]), True
+                self.byte_ids[byte], self.bytes[i] = i, bytes([byte])
             elif kind == UNKNOWN:
                 self.bytes[i] = trainer.get(44, " ⁇ ".encode())
             elif kind != CONTROL:
-                self.bytes[i] = text.encode()
+                self.bytes[i] = text.replace(SPACE, " ").encode()
+                if text.startswith(SPACE):
+                    self.opens.add(i)
         self._tables(normal, np.array([score for _, score, _ in pieces]))
         self.known: dict[str, bytes] = {}
         self.known_before: dict[str, bytes] = {}
@@ -239,8 +242,7 @@ class PieceBpe:
             keep = ~(gone | odd | over)
             fresh = take[keep]
             symbol, place, run, merged = symbol[keep], place[keep], run[keep], merged[keep]
-            new = np.flatnonzero(fresh)
-            touched = np.unique(np.concatenate([new, new[new > 0] - 1]))
+            touched = np.flatnonzero(fresh | np.concatenate([fresh[1:], [False]]))
             merged[touched] = merged_at(touched)
         if not done:
             return symbol, place
@@ -276,22 +278,10 @@ class PieceBpe:
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes that form no UTF-8 become U+FFFD each, escaped spaces are spaces again, but for the one in front."""
         data = b"".join(map(self.bytes.__getitem__, ids))
-        spaces = [i for i in ids if self.bytes[i]][:1]
-        if self.prefix and spaces and not self.is_byte[spaces[0]]:
-            data = data.removeprefix(SPACE.encode())
-        if SPACE.encode() not in data:
-            return data.decode("utf-8", errors="one_replacement_a_byte")
-        escaped = SPACE.encode()
-        if not self.is_byte[ids].any():
-            return data.replace(escaped, b" ").decode("utf-8", errors="one_replacement_a_byte")
-        # Three byte pieces may spell the escaped space; that one stays.
-        parts, is_byte, first = [], self.is_byte[ids], True
-        for i, byte in zip(ids, is_byte):
-            part = self.bytes[i]
-            if first and part:
-                part, first = part if byte or not self.prefix else part.removeprefix(escaped), False
-            parts.append(part if byte else part.replace(escaped, b" "))
-        return b"".join(parts).decode("utf-8", errors="one_replacement_a_byte")
+        first = next((i for i in ids if self.bytes[i]), None)
+        if self.prefix and first in self.opens:
+            data = data[1:]
+        return data.decode("utf-8", errors="one_replacement_a_byte")
 
 
 _LOADED: dict[int, PieceBpe] = {}
