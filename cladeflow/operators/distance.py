@@ -1,8 +1,9 @@
 """Vector distances, distance tables and comparisons between them.
 
 A distance table is long: `a, b, d` with `a < b`. Work on an existing table is linear in its rows. Work on all pairs of
-vectors is cut into blocks: every pair of blocks meets in one task, where a matrix product replaces a row-by-row join,
-and what leaves the task is the reduced answer (a profile, the nearest k), not the pairs.
+vectors is cut into blocks: each unordered pair of blocks meets in one task, where a matrix product replaces a row-by-row
+join, and what leaves the task is the reduced answer (a profile), not the pairs. Nearest neighbours, for which most pairs
+need not be looked at, are in `neighbours`.
 """
 
 from __future__ import annotations
@@ -27,25 +28,10 @@ def n_blocks(df: DataFrame, block_rows: int = BLOCK_ROWS) -> int:
     return max(1, math.ceil(rows / block_rows), min(math.ceil(rows / 256), for_cores))
 
 
-def _block_pairs(left: DataFrame, right: DataFrame, key: str, vec: str, blocks: int):
-    """Both sides grouped by block pair: each vector is copied once per block of the other side; NULL vectors are left out."""
-
-    def placed(df, own, other):
-        rows = df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-        rows = rows.where(F.col("v").isNotNull()).withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    return (placed(df, own, other).groupBy("bi", "bj") for df, own, other in ((left, "bi", "bj"), (right, "bj", "bi")))
-
-
-def _block_function(metric: str, reduce: str, k: int, names: Sequence[str]):
-    """The task over one pair of blocks. Self-contained, so that workers need nothing but numpy and arrow."""
-
-    def matrix(column):
-        import numpy as np
-
-        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def between_vectors(metric: str):
+    """The function from two matrices to the distances between their rows. Self-contained, so that workers need numpy only."""
+    if metric not in METRICS:
+        raise ValueError(f"metric {metric} is not one of {METRICS}")
 
     def between(x, y):
         import numpy as np
@@ -64,53 +50,78 @@ def _block_function(metric: str, reduce: str, k: int, names: Sequence[str]):
         arg = np.outer(lift, np.sqrt(1.0 + np.einsum("ij,ij->i", y, y))) - product
         return np.arccosh(np.where(arg - 1.0 < 1e-6, 1.0, arg))
 
-    def task(left, right):
+    return between
+
+
+def matrix_of():
+    """The function from an Arrow column of vectors to a matrix, self-contained as well."""
+
+    def matrix(column):
+        import numpy as np
+
+        column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+    return matrix
+
+
+def _block_pairs(df: DataFrame, key: str, vec: str, blocks: int):
+    """Each unordered pair of blocks once: a vector is copied to the pairs of its block; NULL vectors are left out."""
+
+    def side(own: str, other: str, others):
+        rows = df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+        rows = rows.where(F.col("v").isNotNull()).withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        return rows.withColumn(other, F.explode(others)).groupBy("bi", "bj")
+
+    return side("bi", "bj", F.sequence("bi", F.lit(blocks - 1))), side("bj", "bi", F.sequence(F.lit(0), "bj"))
+
+
+def _block_function(metric: str, reduce: str, names: Sequence[str]):
+    """The task over one pair of blocks. Self-contained, so that workers need nothing but numpy and arrow."""
+    between, matrix = between_vectors(metric), matrix_of()
+
+    def task(key, left, right):
         import numpy as np
         import pyarrow as pa
 
-        empty = {name: [] for name in names}
         if not left.num_rows or not right.num_rows:
-            return pa.table(empty)
+            return pa.table({name: [] for name in names})
         a = left.column("id").to_numpy(zero_copy_only=False)
         b = right.column("id").to_numpy(zero_copy_only=False)
         d = between(matrix(left.column("v")), matrix(right.column("v")))
-        own = a[:, None] == b[None, :]
+        one_block = key[0].as_py() == key[1].as_py()
         if reduce == "profile":
-            low, high = np.where(own, np.inf, d), np.where(own, -np.inf, d)
-            at = low.argmin(axis=1)
-            keep = ~own.all(axis=1)
-            values = (a, (~own).sum(axis=1), np.where(own, 0.0, d).sum(axis=1), low.min(axis=1), b[at], high.max(axis=1))
-            return pa.table({n: pa.array(v[keep]) for n, v in zip(names, values)})
-        if reduce == "nearest":
-            d = np.where(own, np.inf, d)
-            take = min(k, d.shape[1])
-            order = np.lexsort((np.broadcast_to(b, d.shape), d), axis=1)[:, :take]
-            rows = np.repeat(np.arange(len(a)), take)
-            cols = order.ravel()
-            keep = np.isfinite(d[rows, cols])
-            rows, cols = rows[keep], cols[keep]
-            return pa.table(dict(zip(names, (pa.array(a[rows]), pa.array(b[cols]), pa.array(d[rows, cols])))))
-        rows, cols = np.nonzero(a[:, None] < b[None, :])
-        return pa.table(dict(zip(names, (pa.array(a[rows]), pa.array(b[cols]), pa.array(d[rows, cols])))))
+
+            def profile(a, b, d):
+                own = a[:, None] == b[None, :]
+                low, high = np.where(own, np.inf, d), np.where(own, -np.inf, d)
+                at = low.argmin(axis=1)
+                keep = ~own.all(axis=1)
+                values = (a, (~own).sum(axis=1), np.where(own, 0.0, d).sum(axis=1), low.min(axis=1), b[at], high.max(axis=1))
+                return pa.table({n: pa.array(v[keep]) for n, v in zip(names, values)})
+
+            rows = profile(a, b, d)
+            return rows if one_block else pa.concat_tables([rows, profile(b, a, d.T)])
+        rows, cols = np.nonzero(a[:, None] < b[None, :]) if one_block else np.nonzero(a[:, None] != b[None, :])
+        x, y = a[rows], b[cols]
+        turned = x > y
+        return pa.table(dict(zip(names, (pa.array(np.where(turned, y, x)), pa.array(np.where(turned, x, y)), pa.array(d[rows, cols])))))
 
     return task
 
 
-def _over_blocks(left, right, key, vec, metric, reduce, columns, blocks, k=0):
-    if metric not in METRICS:
-        raise ValueError(f"metric {metric} is not one of {METRICS}")
-    blocks = blocks or max(n_blocks(left), n_blocks(right) if right is not left else 1)
-    a, b = _block_pairs(left, right, key, vec, blocks)
-    id_type = dict(left.dtypes)[key]
+def _over_blocks(df, key, vec, metric, reduce, columns, blocks):
+    a, b = _block_pairs(df, key, vec, blocks or n_blocks(df))
+    id_type = dict(df.dtypes)[key]
     schema = ", ".join(f"{n} {id_type if t == 'id' else t}" for n, t in columns)
-    task = _block_function(metric, reduce, k, [n for n, _ in columns])
-    return a.cogroup(b).applyInArrow(task, schema)
+    return a.cogroup(b).applyInArrow(_block_function(metric, reduce, [n for n, _ in columns]), schema)
 
 
 def distance_profile(df: DataFrame, key: str, vec: str, metric: str = "euclidean", blocks: int | None = None) -> DataFrame:
     """Distances from every vector to all others, summarised: `key, n, mean_d, min_d, nearest, max_d`."""
     columns = [("id", "id"), ("n", "bigint"), ("total", "double"), ("min_d", "double"), ("nearest", "id"), ("max_d", "double")]
-    parts = _over_blocks(df, df, key, vec, metric, "profile", columns, blocks)
+    parts = _over_blocks(df, key, vec, metric, "profile", columns, blocks)
     return parts.groupBy(F.col("id").alias(key)).agg(
         F.sum("n").alias("n"),
         (F.sum("total") / F.sum("n")).alias("mean_d"),
@@ -120,16 +131,6 @@ def distance_profile(df: DataFrame, key: str, vec: str, metric: str = "euclidean
     )
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, vec: str, k: int, metric: str = "euclidean", blocks: int | None = None) -> DataFrame:
-    """The k nearest rows of `right` for every row of `left`, itself left out: `id, neighbour, d, rank`.
-
-    Each block pair passes on k candidates per row; the best k of them are kept afterwards.
-    """
-    columns = [("id", "id"), ("neighbour", "id"), ("d", "double")]
-    candidates = _over_blocks(left, right, key, vec, metric, "nearest", columns, blocks, k)
-    return rank_neighbours(candidates, "id", k)
-
-
 def rank_neighbours(edges: DataFrame, node: str, k: int) -> DataFrame:
     """The k rows of least `d` per node, by neighbour on ties, with their `rank`."""
     from pyspark.sql import Window
@@ -144,7 +145,7 @@ def pairwise(df: DataFrame, key: str, vec: str, metric: str = "euclidean", block
     Use `distance_profile`, `nearest` or `distances_of` where the whole table is not the wanted result.
     """
     columns = [("a", "id"), ("b", "id"), ("d", "double")]
-    return _over_blocks(df, df, key, vec, metric, "pairs", columns, blocks)
+    return _over_blocks(df, key, vec, metric, "pairs", columns, blocks)
 
 
 def whiten(df: DataFrame, vec: str) -> DataFrame:

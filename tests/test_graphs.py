@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladeflow.operators import distance, filters, graph, ordering, trees
+from cladeflow.operators import distance, filters, graph, neighbours, ordering, trees
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +46,7 @@ def test_blocks_equal_the_full_matrix(vectors, metric, blocks):
 def test_nearest_of_another_table(vectors):
     df, x = vectors
     d = brute(x, "euclidean")
-    found = distance.nearest(df.where("id < 10"), df.where("id >= 10"), "id", "v", 4, blocks=2).collect()
+    found = neighbours.nearest(df.where("id < 10"), df.where("id >= 10"), "id", "v", 4, blocks=2).collect()
     for i in range(10):
         mine = sorted((r["rank"], r["neighbour"]) for r in found if r["id"] == i)
         assert [n for _, n in mine] == (np.argsort(d[i, 10:], kind="stable")[:4] + 10).tolist()
