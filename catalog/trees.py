@@ -32,8 +32,7 @@ def ancestor_closure(spark, sf):
 
 @catalog.add("g02_patristic", f"WITH RECURSIVE {PATRISTIC_CTE} SELECT a, b, round(d, 6) AS d FROM tip_dist")
 def patristic(spark, sf):
-    closure = trees.ancestor_closure(tree_edges(spark, sf))
-    return trees.patristic(closure, tip_pairs(spark, sf)).withColumn("d", F.round("d", 6))
+    return trees.patristic(trees.lift(tree_edges(spark, sf)), tip_pairs(spark, sf)).withColumn("d", F.round("d", 6))
 
 
 @catalog.add("g03_all_node_distances", f"""
@@ -47,8 +46,7 @@ def all_node_distances(spark, sf):
 
     customers = table(spark, sf, "orders").select(text("c", F.col("o_custkey")).alias("a"), text("n", F.col("o_custkey") % 25).alias("b"))
     inner = table(spark, sf, "nation").select(text("r", F.col("n_regionkey")).alias("a"), text("n", F.col("n_nationkey")).alias("b"))
-    closure = trees.ancestor_closure(tree_edges(spark, sf))
-    return trees.patristic(closure, customers.unionByName(inner)).withColumn("d", F.round("d", 6))
+    return trees.patristic(trees.lift(tree_edges(spark, sf)), customers.unionByName(inner)).withColumn("d", F.round("d", 6))
 
 
 @catalog.add("g04_phylo_stats", f"""
@@ -69,8 +67,7 @@ def phylo_stats(spark, sf):
         F.col("c_mktsegment").alias("segment"),
         F.when(F.col("c_custkey") % 50 == 0, "odd").otherwise(nation).alias("mixed"),
     )
-    closure = trees.ancestor_closure(tree_edges(spark, sf))
-    return trees.phylo_stats(closure, meta, ["nation", "segment", "mixed"]).withColumn("score", F.round("score", 6))
+    return trees.phylo_stats(trees.lift(tree_edges(spark, sf)), meta, ["nation", "segment", "mixed"]).withColumn("score", F.round("score", 6))
 
 
 def moved_edges(spark, sf):
@@ -102,7 +99,7 @@ n AS (SELECT (SELECT count(*) FROM c1) AS n1, (SELECT count(*) FROM c2) AS n2,
 SELECT n1, n2, n_shared, round((1 - r) / 2, 6) AS tip_distance, round(1 - 2 * n_shared / (n1 + n2), 6) AS subset_distance FROM n""")
 def compare_trees(spark, sf):
     tips = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("tip"))
-    first, second = (trees.ancestor_closure(e) for e in (tree_edges(spark, sf), moved_edges(spark, sf)))
+    first, second = (trees.lift(e) for e in (tree_edges(spark, sf), moved_edges(spark, sf)))
     found = trees.compare_trees(first, second, tips, tip_pairs(spark, sf))
     return found.select(
         "n1", "n2", "n_shared", F.round("tip_distance", 6).alias("tip_distance"), F.round("subset_distance", 6).alias("subset_distance")
@@ -129,9 +126,8 @@ WHERE hops > 0 AND node IN (FROM retained) AND ancestor IN (FROM retained) GROUP
 
 @catalog.add("p10_shear_tree", SHEAR_SQL)
 def shear_tree(spark, sf):
-    edges = tree_edges(spark, sf)
     tips = table(spark, sf, "customer").where("c_acctbal > 9000").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("tip"))
-    sheared = trees.shear_tree(edges, trees.ancestor_closure(edges), tips)
+    sheared = trees.shear_tree(trees.lift(tree_edges(spark, sf)), tips)
     return sheared.withColumn("length", F.round("length", 6))
 
 

@@ -98,9 +98,9 @@ def test_four_leaf_tree(spark):
     edges = spark.createDataFrame(EDGES, "child string, parent string, length double")
     order = "abdecf"
     want = [[0, 3, 11, 12, 1, 7], [3, 0, 12, 13, 2, 8], [11, 12, 0, 9, 10, 4], [12, 13, 9, 0, 11, 5], [1, 2, 10, 11, 0, 6], [7, 8, 4, 5, 6, 0]]
-    closure = trees.ancestor_closure(edges)
+    tree = trees.lift(edges)
     pairs = spark.createDataFrame([(x, y) for x in order for y in order], "a string, b string")
-    got = {(r["a"], r["b"]): r["d"] for r in trees.patristic(closure, pairs).collect()}
+    got = {(r["a"], r["b"]): r["d"] for r in trees.patristic(tree, pairs).collect()}
     assert [[got[x, y] for y in order] for x in order] == want
 
 
@@ -115,19 +115,19 @@ def test_shearing_contracts_and_drops_the_old_root(spark):
     # root → x → y → (a, b); root → c
     rows = [("x", "root", 1.0), ("y", "x", 2.0), ("a", "y", 3.0), ("b", "y", 4.0), ("c", "root", 5.0)]
     edges = spark.createDataFrame(rows, "child string, parent string, length double")
-    closure = trees.ancestor_closure(edges)
+    tree = trees.lift(edges)
     whole = spark.createDataFrame([("a",), ("b",), ("c",)], "tip string")
-    got = {(r["child"], r["parent"], r["length"]) for r in trees.shear_tree(edges, closure, whole).collect()}
+    got = {(r["child"], r["parent"], r["length"]) for r in trees.shear_tree(tree, whole).collect()}
     assert got == {("a", "y", 3.0), ("b", "y", 4.0), ("y", "root", 3.0), ("c", "root", 5.0)}
     part = whole.where("tip <> 'c'")
-    got = {(r["child"], r["parent"], r["length"]) for r in trees.shear_tree(edges, closure, part).collect()}
+    got = {(r["child"], r["parent"], r["length"]) for r in trees.shear_tree(tree, part).collect()}
     assert got == {("a", "y", 3.0), ("b", "y", 4.0)}
 
 
 def test_a_clade_scores_one_and_a_scattered_taxon_more(spark):
     edges = spark.createDataFrame(EDGES, "child string, parent string, length double")
     meta = spark.createDataFrame([("a", "x", "m"), ("b", "x", "n"), ("d", "y", "m"), ("e", "y", "n")], "tip string, good string, bad string")
-    stats = {r["rank"]: r["score"] for r in trees.phylo_stats(trees.ancestor_closure(edges), meta, ["good", "bad"]).collect()}
+    stats = {r["rank"]: r["score"] for r in trees.phylo_stats(trees.lift(edges), meta, ["good", "bad"]).collect()}
     # Under the root c, the tips a and b have no clade of their own.
     assert stats == {"good": (4 + 2) / 4, "bad": (4 + 4) / 4}
 
@@ -135,14 +135,14 @@ def test_a_clade_scores_one_and_a_scattered_taxon_more(spark):
 def test_equal_trees_are_at_distance_zero(spark):
     rows = [("x", "root", 1.0), ("y", "root", 2.0), ("a", "x", 3.0), ("b", "x", 4.0), ("c", "y", 5.0), ("d", "y", 1.0)]
     edges = spark.createDataFrame(rows, "child string, parent string, length double")
-    closure = trees.ancestor_closure(edges)
+    tree = trees.lift(edges)
     tips = spark.createDataFrame([(t,) for t in "abcd"], "tip string")
     pairs = spark.createDataFrame([(a, b) for a in "abcd" for b in "abcd" if a < b], "a string, b string")
-    row = trees.compare_trees(closure, closure, tips, pairs).first()
+    row = trees.compare_trees(tree, tree, tips, pairs).first()
     assert (row["n1"], row["n_shared"], row["subset_distance"]) == (2, 2, 0.0) and row["tip_distance"] == pytest.approx(0)
     swapped = [(c, {"b": "y", "c": "x"}.get(c, p), n) for c, p, n in rows]
-    other = trees.ancestor_closure(spark.createDataFrame(swapped, "child string, parent string, length double"))
-    assert trees.compare_trees(closure, other, tips, pairs).first()["subset_distance"] == 1.0
+    other = trees.lift(spark.createDataFrame(swapped, "child string, parent string, length double"))
+    assert trees.compare_trees(tree, other, tips, pairs).first()["subset_distance"] == 1.0
 
 
 def brute_components(n, edges):
@@ -216,5 +216,6 @@ def test_null_and_zero_vectors_fail_nothing(spark):
 
 def test_a_cycle_is_no_tree(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("c", "a", 1.0)], "child string, parent string, length double")
-    with pytest.raises(ValueError, match="own ancestor"):
-        trees.ancestor_closure(edges)
+    for build in (trees.ancestor_closure, trees.lift):
+        with pytest.raises(ValueError, match="own ancestor"):
+            build(edges)
