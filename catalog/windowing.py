@@ -8,7 +8,7 @@ from catalog.common import DNA_SQL, SEQS_CTE, Catalog, sequences, table
 from catalog.scalar import CANONICAL_CTE, KMERS_CTE
 from cladeflow import cut_lineage
 from cladeflow.functions import sequence as S
-from cladeflow.operators import aggregate, ordering, windows
+from cladeflow.operators import aggregate, containment, ordering, windows
 
 catalog = Catalog()
 
@@ -129,7 +129,7 @@ def verify_windows(spark, sf):
     cuts = windows.window_sequences(seqs, "seq", 1000)
     padded = cuts.withColumn("window", S.pad_seq(F.col("window"), 1000))
     turned = F.when(F.col("start") % 3000 == 0, S.revcomp(F.col("window"))).otherwise(F.col("window"))
-    checked = windows.verify_windows(padded.withColumn("window", turned), seqs, "seq_id", "seq")
+    checked = containment.verify_windows(padded.withColumn("window", turned), seqs, "seq_id", "seq")
     return checked.select("seq_id", "start", "hit", "rc_hit")
 
 

@@ -175,19 +175,6 @@ def dataset_stats(
     )
 
 
-def verify_windows(windows: DataFrame, records: DataFrame, key: str, seq: str, pad: str = S.PAD) -> DataFrame:
-    """Whether each window, or its reverse complement, occurs in the record it came from: `hit, rc_hit`.
-
-    Padding is stripped on the right first. Windows join their own record by key, so a record is read once per window
-    batch of the join and no pair of unrelated sequences is built.
-    """
-    bare = F.rtrim(F.col("window"), F.lit(pad))
-    joined = windows.withColumn("_bare", bare).join(records.select(key, F.col(seq).alias("_record")), key)
-    hit = F.col("_record").contains(F.col("_bare"))
-    rc_hit = F.col("_record").contains(S.revcomp(F.col("_bare")))
-    return joined.withColumn("hit", hit).withColumn("rc_hit", rc_hit).drop("_bare", "_record")
-
-
 def _check(window: int, step: int | None, min_len: int) -> int:
     if min_len < 1 or window < min_len:
         raise ValueError(f"window {window} must be at least the minimum length {min_len}, and that at least 1")
