@@ -210,15 +210,14 @@ b AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase')
 SELECT l.event_id, l.user_id, a.value AS loss, b.value AS val_loss FROM l
 ASOF LEFT JOIN a ON l.user_id = a.user_id AND l.ts >= a.ts ASOF LEFT JOIN b ON l.user_id = b.user_id AND l.ts >= b.ts""")
 def asof_last(spark, sf):
-    from cladeflow.operators import joins, ordering
+    from cladeflow.operators import joins
 
     events = table(spark, sf, "events")
     kind, value = F.col("event_type"), F.col("value")
     values = {"loss": F.when(kind.isin("view", "click"), value), "val_loss": F.when(kind == "purchase", value)}
     found = joins.asof_last(
-        events.where(kind == "signup"), events.where(kind != "signup"), "ts", values, ["user_id"],
-        ordering.time_buckets("ts"), "event_id",
-    )
+        events.where(kind == "signup"), events.where(kind != "signup"), "ts", values, ["user_id"], "event_id"
+    )
     return found.select("event_id", "user_id", "loss", "val_loss")
 
 

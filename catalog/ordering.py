@@ -24,7 +24,8 @@ WITH c AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) O
 SELECT event_id, user_id, event_type, CAST(sum(change) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS run
 FROM c""")
 def islands(spark, sf):
-    runs = ordering.islands(events(spark, sf), "event_type", by_time(), ordering.time_buckets("ts"), ["user_id"])
+    rows = events(spark, sf)
+    runs = ordering.islands(rows, "event_type", by_time(), ordering.sketch_buckets(rows, ["user_id"], by_time()), ["user_id"])
     return runs.select("event_id", "user_id", "event_type", "run")
 
 
@@ -35,7 +36,7 @@ SELECT event_id, user_id, avg(v) OVER (PARTITION BY user_id ORDER BY ts, event_i
 FROM e""")
 def running_mean(spark, sf):
     rows = events(spark, sf).withColumn("value", F.round(F.col("value") * 100).cast("bigint"))
-    buckets = ordering.time_buckets("ts")
+    buckets = ordering.sketch_buckets(rows, ["user_id"], by_time())
     running = ordering.running_mean(rows, "value", by_time(), buckets, ["user_id"])
     moving = ordering.moving_mean(rows, "value", 5, by_time(), buckets, ["user_id"]).select("event_id", "moving_mean")
     return running.join(moving, "event_id").select("event_id", "user_id", "running_mean", "moving_mean")
@@ -45,7 +46,8 @@ def running_mean(spark, sf):
 SELECT event_id, round(abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id)), 6) AS abs_delta
 FROM events""")
 def abs_delta(spark, sf):
-    deltas = ordering.abs_delta(events(spark, sf), "value", by_time(), ordering.time_buckets("ts"), ["event_type"])
+    rows = events(spark, sf)
+    deltas = ordering.abs_delta(rows, "value", by_time(), ordering.sketch_buckets(rows, ["event_type"], by_time()), ["event_type"])
     return deltas.select("event_id", F.round("abs_delta", 6).alias("abs_delta"))
 
 

@@ -229,16 +229,13 @@ def subset_distances(d: DataFrame, taxa: DataFrame, key: str, n: int, seed: int)
     return filters.trim_distances(d, ordering.sample_rows(taxa.select(key), key, n, seed), key)
 
 
-def average_ranks(df: DataFrame, value: str, out: str, n_buckets: int = 1024) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """Adds the rank of `value` over the table; equal values share their mean rank.
 
     Ranks are settled on distinct values and given back by value, in salted copies for values held by many rows.
     """
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    bounds = counts.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    width = F.nullif(bounds.getField("hi") - bounds.getField("lo"), F.lit(0.0))
-    at = F.coalesce(F.floor((F.col(value) - bounds.getField("lo")) * n_buckets / width), F.lit(0))
-    ranked = ordering.prefix(counts, [], [at], [F.col(value)], sums={"_cum": F.col("_n")})
+    ranked = ordering.prefix(counts, [], ordering.sketch_buckets(counts, [], [F.col(value)]), [F.col(value)], sums={"_cum": F.col("_n")})
     ranked = ranked.select(value, (F.col("_cum") - (F.col("_n") - 1) / 2).alias(out), F.col("_n").alias("_rows"))
     return ordering.salted_join(df, ranked, [value], spread=[c for c in df.columns if c != value])
 

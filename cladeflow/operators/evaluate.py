@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cladeflow.operators import ordering, taxonomy
+from cladeflow.session import settle
 
 
 def join_truth(inputs: DataFrame, preds: DataFrame, truth: DataFrame, key: str) -> DataFrame:
@@ -118,13 +119,9 @@ def _score_counts(df: DataFrame, label: str, score: str, keys: Sequence[str]) ->
     by_score = df.groupBy(*keys, score).agg(
         F.sum(F.col(label).cast("bigint")).alias("_tp"), F.sum(1 - F.col(label).cast("bigint")).alias("_fp")
     )
-    running = ordering.prefix(
-        by_score,
-        keys,
-        ordering.unit_buckets(score),
-        [F.col(score).desc()],
-        sums={"tp": F.col("_tp"), "fp": F.col("_fp")},
-    )
+    by_score = settle(by_score, "scores")
+    falling = [-F.col(score)]
+    running = ordering.prefix(by_score, keys, ordering.sketch_buckets(by_score, keys, falling), falling, sums={"tp": F.col("_tp"), "fp": F.col("_fp")})
     if keys:
         totals = by_score.groupBy(*keys).agg(
             F.sum("_tp").alias("_P"), F.sum("_fp").alias("_N"), F.count(F.lit(1)).alias("_rows")
@@ -134,7 +131,7 @@ def _score_counts(df: DataFrame, label: str, score: str, keys: Sequence[str]) ->
 
 
 def roc_curve(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    """`keys, threshold, fpr, tpr` at every distinct score; scores lie in [0, 1]. The origin is left out."""
+    """`keys, threshold, fpr, tpr` at every distinct score. The origin is left out."""
     rows = _score_counts(df, label, score, keys)
     return rows.select(
         *keys, F.col(score).alias("threshold"), F.try_divide("fp", "_N").alias("fpr"), F.try_divide("tp", "_P").alias("tpr")

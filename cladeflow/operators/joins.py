@@ -28,7 +28,6 @@ def asof_last(
     on: str,
     values: Mapping[str, Column],
     keys: Sequence[str],
-    buckets: Sequence[Column],
     left_id: str,
 ) -> DataFrame:
     """For every left row the last value of each kind in `right` at or before it (backward as-of join).
@@ -42,13 +41,9 @@ def asof_last(
     renamed = {n: f"_v{n}" for n in values}
     for name, column in renamed.items():
         events = events.withColumnRenamed(name, column)
-    swept = ordering.prefix(
-        events,
-        list(keys),
-        buckets,
-        [F.col(on), F.col("_side"), F.col(left_id)],
-        lasts={n: F.col(c) for n, c in renamed.items()},
-    )
+    order = [F.col(on), F.col("_side"), F.col(left_id)]
+    buckets = ordering.sketch_buckets(events, keys, order)
+    swept = ordering.prefix(events, list(keys), buckets, order, lasts={n: F.col(c) for n, c in renamed.items()})
     return swept.where("_side = 1").select(*keys, on, left_id, *values)
 
 

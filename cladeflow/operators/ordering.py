@@ -1,12 +1,13 @@
 """Ordered operators that never need a whole key in one task.
 
-Running values are built from buckets. A bucket is a monotone function of the sort order (a block of ids, an hour, the
-leading characters of a hash), so that each (key, bucket) can be ordered by itself while the totals of the earlier
+Running values are built from buckets. A bucket is a monotone function of the sort order (a block of ids, the leading
+characters of a hash, or where these say nothing of the rows a range between sampled splitters), so that each (key, bucket) can be ordered by itself while the totals of the earlier
 buckets are added from a table of bucket totals. A hot key is spread over its buckets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -28,16 +29,44 @@ def hash_buckets(digest: Column) -> list[Column]:
     return [F.substring(digest, 1, 2), F.substring(digest, 1, 4)]
 
 
-def time_buckets(ts: str | Column) -> list[Column]:
-    """Days, then hours."""
-    return [F.date_trunc("day", ts), F.date_trunc("hour", ts)]
+#: Rows that a bucket should hold, the most buckets, and how many rows of the sample stand for a bucket.
+BUCKET_ROWS, MOST_BUCKETS, SAMPLES = 1_000_000, 1 << 12, 32
 
 
-def unit_buckets(col: str | Column, n: int = 4096, descending: bool = True) -> list[Column]:
-    """Buckets of values in [0, 1]."""
-    value = F.col(col) if isinstance(col, str) else col
-    step = F.floor(value * n)
-    return [-step if descending else step]
+def sketch_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket_rows: int | None = None) -> list[Column]:
+    """One level of buckets with about `bucket_rows` rows each, whatever the values: splitters of the order `(keys, order)`.
+
+    The splitters are quantiles of the rows with the least hashes of `(keys, order)`: a uniform sample of bounded size that
+    every task cuts for itself before samples are merged, and whose greatest hash tells how many rows there are. At most
+    `MOST_BUCKETS` splitters reach the driver, and a row finds its bucket in two steps of at most 64 comparisons. `order` are
+    plain ascending columns; NULL is smallest. Rows that tie in all of them share a bucket.
+    """
+    bucket_rows = bucket_rows or BUCKET_ROWS
+    place = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[c.alias(f"o{i}") for i, c in enumerate(order)])
+    size = MOST_BUCKETS * SAMPLES
+    sample = df.select(place.alias("p"), F.xxhash64(place).alias("h")).orderBy("h").limit(size)
+    found = sample.agg(F.sort_array(F.collect_list("p")).alias("p"), F.max("h").alias("h"), F.count(F.lit(1)).alias("n"))
+    # With fewer rows than the sample may hold all rows are in it; else the share of the hash range that it fills tells.
+    filled = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    rows = F.when(F.col("n") < size, F.col("n")).otherwise(F.col("n") / filled)
+    wanted = F.least(F.greatest(F.ceil(rows / bucket_rows), F.lit(1)), F.lit(MOST_BUCKETS), F.greatest(F.floor(F.col("n") / SAMPLES), F.lit(1)))
+    at = F.transform(F.sequence(F.lit(1), F.col("w")), lambda i: F.element_at("p", F.least(F.floor(i * F.col("n") / F.col("w")) + 1, F.col("n")).cast("int")))
+    splitters = found.where("n > 0").select("p", "n", wanted.cast("int").alias("w")).select(at.alias("p")).first()
+    values = splitters["p"][:-1] if splitters else []
+    if not values:
+        return [F.lit(0)]
+    kinds = [f.dataType for f in df.select(place.alias("p")).schema["p"].dataType]
+    literal = [F.struct(*[F.lit(x).cast(kind).alias(name) for x, kind, name in zip(v, kinds, v.__fields__)]) for v in values]
+    step = math.isqrt(len(literal)) + 1
+    first = F.array(*literal[step - 1 :: step])
+    groups = F.array(*[F.array(*literal[g : g + step - 1]) for g in range(0, len(literal) + 1, step) if literal[g : g + step - 1]], F.array(literal[-1]))
+
+    def before(values: Column) -> Column:
+        return F.size(F.filter(values, lambda x: x <= place))
+
+    coarse = before(first)
+    inside = F.when(coarse * step < len(literal), before(F.element_at(groups, coarse + 1))).otherwise(0)
+    return [coarse * step + inside]
 
 
 def order_digest(seed: int, *cols: str | Column) -> Column:
@@ -180,11 +209,27 @@ def cum_offsets(df: DataFrame, size: str, buckets: Sequence[Column], order: Sequ
 
 
 def islands(df: DataFrame, value: str, order: Sequence[Column], buckets: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
-    """Number the runs of equal `value` in order, from 1."""
+    """Number the runs of equal `value` in order, from 1; NULL equals NULL.
+
+    Inside its bucket a row is compared with the one before it. The first row of a bucket is compared with the last one of
+    the bucket before, in the table of buckets, which also carries the changes so far: rows are shuffled once.
+    """
     rows, levels = with_buckets(df, buckets)
-    lagged = prefix_over(rows, keys, levels, order, lasts={"_previous": F.col(value)}, inclusive=False)
-    change = F.when(F.col("_previous").eqNullSafe(F.col(value)), 0).otherwise(1)
-    return prefix_over(lagged, keys, levels, order, sums={"run": change}).drop("_previous", *levels)
+    keys, place = list(keys), [*keys, *levels]
+    local = Window.partitionBy(*place).orderBy(*order)
+    change = F.when(F.row_number().over(local) == 1, 0).when(F.lag(value).over(local).eqNullSafe(F.col(value)), 0).otherwise(1)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_change", change).withColumn("_inside", F.sum("_change").over(upto)).withColumn("_at", F.row_number().over(local))
+    totals = rows.groupBy(*place).agg(
+        F.sum("_change").alias("_changes"), F.min_by(F.struct(value), "_at").alias("_first"), F.max_by(F.struct(value), "_at").alias("_last")
+    )
+    before = Window.partitionBy(*keys).orderBy(*levels)
+    border = F.when(F.lag("_last").over(before).eqNullSafe(F.col("_first")), 0).otherwise(1)
+    totals = totals.withColumn("_border", border)
+    sofar = F.sum(F.col("_changes") + F.col("_border")).over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_changes")
+    carry = totals.select(*place, sofar.alias("_sofar"))
+    joined = same_keys_join(rows, carry, place)
+    return joined.select(*df.columns, (F.col("_sofar") + F.col("_inside")).alias("run"))
 
 
 def running_mean(df: DataFrame, value: str, order: Sequence[Column], buckets: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
