@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cladeflow import spread
+from cladeflow.operators.ordering import MULTIPLIERS, PRIME, ROUNDS
 
 # The letter map that turns prose into DNA. Every character becomes one residue: other characters are N.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -35,6 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def permuted_sql(i: str, n: str, digest: str) -> str:
+    """The place of a number in a permutation that a digest names: rounds over a list, with the state in a struct."""
+    a, b, c = MULTIPLIERS
+    first, second = (f"CAST('0x' || substr({digest}, {at}, 7) AS BIGINT)" for at in (1, 9))
+    zero = "CAST(0 AS BIGINT)"
+    k = f"((t.f + q.r * t.s) % {PRIME} * {a} % {PRIME} * {PRIME + 2} + (t.s + q.r * t.f) % {PRIME} * {b} % {PRIME}) % t.n"
+    mixed = f"xor(greatest(p.x, p.o) % {PRIME}, (t.f + q.r * {c}) % {PRIME}) * {a} % {PRIME + 1}"
+    drawn = f"list_transform([{mixed}], lambda m: xor(m, m >> 13) * {b} % {PRIME + 1})[1]"
+    moved = f"list_transform([{drawn}], lambda d: CASE WHEN (d >> 16) & 1 = 1 THEN p.o ELSE p.x END)[1]"
+    step = f"list_transform([{{'x': t.x, 'o': (({k} - t.x) % t.n + t.n) % t.n}}], lambda p: {moved})[1]"
+    rounds = f"list_transform(range({ROUNDS}), lambda q: {{'x': {zero}, 'n': {zero}, 'f': {zero}, 's': {zero}, 'r': q}})"
+    start = f"{{'x': CAST({i} AS BIGINT), 'n': CAST({n} AS BIGINT), 'f': {first}, 's': {second}, 'r': {zero}}}"
+    return f"list_reduce(list_prepend({start}, {rounds}), lambda t, q: {{'x': {step}, 'n': t.n, 'f': t.f, 's': t.s, 'r': q.r}}).x"
+
+
 # -- sequences ---------------------------------------------------------------------------------------------------
 
 LETTERS_SQL = f"regexp_replace(translate(text, '{LETTERS.lower()}', '{LETTERS}'), '[^A-Z]', 'N', 'g')"

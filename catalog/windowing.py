@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import DNA_SQL, SEQS_CTE, Catalog, sequences, table
+from catalog.common import DNA_SQL, SEQS_CTE, Catalog, permuted_sql, sequences, table
 from catalog.scalar import CANONICAL_CTE, KMERS_CTE
 from cladeflow import cut_lineage
 from cladeflow.functions import sequence as S
@@ -75,10 +75,10 @@ def window_for_inference(spark, sf):
 
 
 SPLIT_SQL = f"""
-WITH {SEQS_CTE}, w AS (SELECT seq_id, s, count(*) OVER (PARTITION BY seq_id) AS n,
-    row_number() OVER (PARTITION BY seq_id ORDER BY md5('7:' || seq_id || ':' || s), s) - 1 AS perm
-  FROM seqs, {starts_sql(128, 100)})
-SELECT seq_id, s AS start, perm, CASE WHEN perm < n - round_even(0.2 * n, 0) THEN 'train' ELSE 'val' END AS split FROM w"""
+WITH {SEQS_CTE}, w AS (SELECT seq_id, s, count(*) OVER (PARTITION BY seq_id) AS n, md5('7:' || seq_id) AS digest
+  FROM seqs, {starts_sql(128, 100)}),
+p AS (SELECT seq_id, s, n, {permuted_sql("s // 128", "n", "digest")} AS perm FROM w)
+SELECT seq_id, s AS start, perm, CASE WHEN perm < n - round_even(0.2 * n, 0) THEN 'train' ELSE 'val' END AS split FROM p"""
 
 
 @catalog.add("c06_split_windows", SPLIT_SQL)
@@ -97,10 +97,11 @@ def dataset_stats(spark, sf):
     return windows.dataset_stats(lengths(spark, sf), "genome_id", "L", 1024, 128, both=True)
 
 
-@catalog.add("c08_epoch_order", """
-WITH r AS (SELECT o_orderkey, CAST(o_orderkey % 7 AS INTEGER) AS part FROM orders)
-SELECT o_orderkey, part, row_number() OVER (ORDER BY md5('11:' || part), md5('11:' || o_orderkey), o_orderkey) - 1
-  AS position FROM r""")
+@catalog.add("c08_epoch_order", f"""
+WITH r AS (SELECT o_orderkey, CAST(o_orderkey % 7 AS INTEGER) AS part, row_number() OVER (PARTITION BY o_orderkey % 7 ORDER BY o_orderkey) - 1 AS i,
+  count(*) OVER (PARTITION BY o_orderkey % 7) AS n FROM orders),
+v AS (SELECT part, sum(count(*)) OVER (ORDER BY md5('11:' || part)) - count(*) AS start FROM r GROUP BY part)
+SELECT o_orderkey, r.part, CAST(start + {permuted_sql("i", "n", "md5('11:' || r.part)")} AS BIGINT) AS position FROM r JOIN v ON r.part = v.part""")
 def epoch_order(spark, sf):
     return ordering.epoch_order(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 7, 11)
 

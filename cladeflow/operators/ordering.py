@@ -7,6 +7,7 @@ buckets are added from a table of bucket totals. A hot key is spread over its bu
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -74,6 +75,38 @@ def order_digest(seed: int, *cols: str | Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]))
 
 
+# The rounds of a permutation, the prime that folds numbers, and odd multipliers below 2^31.
+ROUNDS, PRIME, MULTIPLIERS = 32, 2_147_483_647, (1_103_515_245, 1_540_483_477, 1_566_083_941)
+
+
+def permutation_keys(seed: int, *cols: str | Column) -> tuple[Column, Column]:
+    """Two numbers below 2^31 that name a permutation: the halves of a digest of the seed and the columns."""
+    digest = order_digest(seed, *cols)
+    return tuple(F.conv(F.substring(digest, at, 7), 16, 10).cast("bigint") for at in (1, 9))
+
+
+def permuted(i: Column, n: Column, keys: tuple[Column, Column]) -> Column:
+    """The place of `i` in a permutation of 0 … n - 1: a formula, with no table of the others.
+
+    In each round a number x pairs with (k - x) mod n, for a k of that round, and both change places or do not, as a bit
+    drawn from the greater of them says. That maps [0, n) onto itself for any n.
+    """
+    a, b, c = MULTIPLIERS
+    first, second = keys
+    n = n.cast("bigint")
+
+    def step(x: Column, r: Column) -> Column:
+        k = F.pmod((first + r * second) % PRIME * a % PRIME * (PRIME + 2) + (second + r * first) % PRIME * b % PRIME, n)
+        other = F.pmod(k - x, n)
+        greater = F.greatest(x, other)
+        mixed = (greater % PRIME).bitwiseXOR((first + r * c) % PRIME) * a % (PRIME + 1)
+        drawn = mixed.bitwiseXOR(F.shiftright(mixed, 13)) * b % (PRIME + 1)
+        return F.when(F.shiftright(drawn, 16).bitwiseAND(F.lit(1).cast("bigint")) == 1, other).otherwise(x)
+
+    rounds = F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), lambda r: r.cast("bigint"))
+    return F.when(n > 0, F.aggregate(rounds, i.cast("bigint"), step))
+
+
 def hot_keys(counts: DataFrame, keys: Sequence[str], rows: str = "_rows", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than `hot_rows` rows out of a table of row counts.
 
@@ -283,17 +316,31 @@ def epoch_order(df: DataFrame, index: str, n_partitions: int, seed: int, max_sam
     """Sampling order without replacement: `part, position`.
 
     Partition p owns the rows with `index % n_partitions = p`; partitions are visited in random order and rows inside
-    them in random order. `shuffle=False` gives the sequential order of the index. `position` is 0-based.
+    them in random order. `shuffle=False` gives the sequential order of the index. `position` is 0-based. Where the index
+    runs from 0 without gaps, a position is a formula of the index and no row moves; else rows are numbered first.
     """
+    facts = df.agg(F.count(F.lit(1)).alias("n"), F.min(index).alias("low"), F.max(index).alias("high"), F.count_distinct(index).alias("values")).first()
     rows = df.withColumn("part", F.pmod(F.col(index), F.lit(n_partitions)).cast("int"))
-    if shuffle:
-        rows = rows.withColumn("_visit", order_digest(seed, "part")).withColumn("_digest", order_digest(seed, index))
-        digest = F.col("_digest")
-        ranked = global_rank(rows, [F.col("_visit"), *hash_buckets(digest)], [digest, F.col(index)])
-        ranked = ranked.drop("_visit", "_digest")
+    if facts["n"] and (facts["low"], facts["high"], facts["values"]) == (0, facts["n"] - 1, facts["n"]):
+        ordinal = F.expr(f"`{index}` div {n_partitions}")
+        sizes = {p: (facts["n"] - p + n_partitions - 1) // n_partitions for p in range(n_partitions)}
     else:
-        ranked = global_rank(rows, [F.col("part"), *id_buckets(index)], [F.col(index)])
-    out = ranked.withColumn("position", F.col("rank") - 1).drop("rank")
+        ordinal = None
+        sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+    # The partitions, of which there are few, are put in order here.
+    visits = sorted(sizes, key=lambda p: (hashlib.md5(f"{seed}:{p}".encode()).hexdigest(), p) if shuffle else p)
+    starts, upto = {}, 0
+    for p in visits:
+        starts[p], upto = upto, upto + sizes[p]
+    table = F.create_map(*[F.lit(x) for p in visits for x in (p, F.struct(F.lit(starts[p]).cast("bigint").alias("start"), F.lit(sizes[p]).cast("bigint").alias("n")))]) if visits else None
+    if table is None:
+        return rows.withColumn("position", F.lit(0).cast("bigint"))
+    if ordinal is None:
+        rows = global_rank(rows, id_buckets(index), [F.col(index)], ["part"])
+        ordinal = F.col("rank") - 1
+    rows = rows.withColumn("_own", F.element_at(table, F.col("part"))).withColumn("_i", ordinal.cast("bigint"))
+    inside = permuted(F.col("_i"), F.col("_own.n"), permutation_keys(seed, "part")) if shuffle else F.col("_i")
+    out = rows.withColumn("position", F.col("_own.start") + inside).drop("_own", "_i", "rank")
     return out if max_samples is None else out.where(F.col("position") < max_samples)
 
 

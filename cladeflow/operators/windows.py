@@ -14,6 +14,7 @@ from cladeflow.operators import ordering
 
 MIN_LEN = 100
 WINDOWS_PER_TILE = 2048
+NUMBERS_PER_BLOCK = 8192
 
 
 def tile(df: DataFrame, seq: str, span: int, overlap: int, start: str = "tile_start") -> DataFrame:
@@ -36,6 +37,13 @@ def _ordinals(n: Column, step: int = 1) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(step).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _numbered(df: DataFrame, n: Column, name: str) -> DataFrame:
+    """One row per number 0 … n - 1, from blocks of numbers: no row holds all of a long record."""
+    blocks = df.withColumn("_n", n).withColumn("_first", F.explode(_ordinals(F.col("_n"), NUMBERS_PER_BLOCK)))
+    here = F.least(F.col("_n") - F.col("_first"), F.lit(NUMBERS_PER_BLOCK))
+    return blocks.withColumn("_at", F.explode(_ordinals(here))).withColumn(name, F.col("_first") + F.col("_at")).drop("_n", "_first", "_at")
+
+
 def slice_seq(seq: Column, start: Column, length: Column) -> Column:
     """Residues `[start, start + length)`, 0-based, by byte offset."""
     return F.substring(seq.cast("binary"), start.cast("int") + 1, length.cast("int")).cast("string")
@@ -90,7 +98,7 @@ def window_spans(df: DataFrame, seq_len: str, window: int, step: int | None = No
     """`start, end` of every window from the length alone: no residues are read or moved."""
     step = _check(window, step, min_len)
     n = window_count(F.col(seq_len), step, min_len)
-    rows = df.withColumn("start", F.explode(F.transform(_ordinals(n), lambda i: i * step)))
+    rows = _numbered(df, n, "start").withColumn("start", F.col("start") * step)
     return rows.withColumn("end", F.least(F.col("start") + window, F.col(seq_len)))
 
 
@@ -134,20 +142,19 @@ def split_windows(
 ) -> DataFrame:
     """Training or validation for every window, stratified within its sequence: `…, start, perm, split`.
 
-    The windows of a sequence follow from its length, so they are permuted inside the row: no shuffle. The first
-    `n - round_half_even(val_frac · n)` of the permutation are for training.
+    The windows of a sequence follow from its length, and the place of a window in their permutation from its number:
+    no shuffle, and no list of the windows of a sequence. The first `n - round_half_even(val_frac · n)` places are for
+    training.
     """
     step = _check(window, step, min_len)
     n = window_count(F.col(seq_len), step, min_len)
-
-    def draw(i):
-        return F.struct(ordering.order_digest(seed, F.col(key), i * step).alias("digest"), (i * step).alias("start"))
-
-    permuted = F.sort_array(F.transform(_ordinals(n), draw))
-    rows = df.select("*", F.posexplode(permuted).alias("_pos", "_w"))
-    n_val = F.bround(n * F.lit(val_frac), 0)
-    split = F.when(F.col("_pos") < n - n_val, "train").otherwise("val")
-    return rows.select(*df.columns, F.col("_w.start").alias("start"), F.col("_pos").alias("perm"), split.alias("split"))
+    first, second = ordering.permutation_keys(seed, key)
+    rows = _numbered(df.withColumns({"_count": n, "_k1": first, "_k2": second}), F.col("_count"), "_i")
+    place = ordering.permuted(F.col("_i"), F.col("_count"), (F.col("_k1"), F.col("_k2")))
+    n_val = F.bround(F.col("_count") * F.lit(val_frac), 0)
+    rows = rows.withColumn("perm", place)
+    split = F.when(F.col("perm") < F.col("_count") - n_val, "train").otherwise("val")
+    return rows.select(*df.columns, (F.col("_i") * step).alias("start"), "perm", split.alias("split"))
 
 
 def dataset_stats(
