@@ -106,18 +106,15 @@ def locus_tag(spark, sf):
 
 
 @catalog.add("f08_encode", f"""
-SELECT doc_id, array_to_string([instr('{VOCAB}', c) - 1
-    for c in string_split(regexp_replace({LETTERS_SQL}, '[^{VOCAB}]', 'N', 'g'), '')], ',') AS dna_codes,
-  array_to_string([ascii(c) - 65 for c in string_split({LETTERS_SQL}, '')], ',') AS aa_codes
-FROM documents WHERE length({LETTERS_SQL}) > 0""")
+SELECT doc_id, CASE WHEN text = '' THEN '' ELSE array_to_string([instr('{VOCAB}', c) - 1
+    for c in string_split(regexp_replace({LETTERS_SQL}, '[^{VOCAB}]', 'N', 'g'), '')], ',') END AS dna_codes,
+  CASE WHEN text = '' THEN '' ELSE array_to_string([ascii(c) - 65 for c in string_split({LETTERS_SQL}, '')], ',') END AS aa_codes
+FROM documents""")
 def encode(spark, sf):
-    def joined(col):
-        return F.array_join(F.transform(col, lambda c: c.cast("string")), ",")
-
-    return documents(spark, sf).where(F.length(letters()) > 0).select(
+    return documents(spark, sf).select(
         "doc_id",
-        joined(S.encode_seq(letters())).alias("dna_codes"),
-        joined(S.encode_seq(letters(), "protein")).alias("aa_codes"),
+        S.codes_text(S.encode_seq(letters())).alias("dna_codes"),
+        S.codes_text(S.encode_seq(letters(), "protein")).alias("aa_codes"),
     )
 
 

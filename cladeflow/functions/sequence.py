@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 # The alphabets whose order gives each residue its code, and the complement of each DNA code letter.
@@ -10,8 +11,6 @@ DNA_COMPLEMENT = "TGRWSMHBNACYKDV"
 AA_VOCAB = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PAD = "N"
 
-_CODE_BASE = "abcdefghijklmnopqrstuvwxyz"
-
 
 def clean_dna(seq: Column) -> Column:
     """Upper-case IUPAC letters; every other character becomes N."""
@@ -22,22 +21,100 @@ def clean_protein(seq: Column) -> Column:
     return F.regexp_replace(F.upper(seq), "[^A-Z]", "X")
 
 
+def _over_batches(function, returns: str):
+    """A column function that works on whole Arrow batches. `function` is self-contained, so that workers need numpy and arrow only."""
+
+    def run(values: pa.Array) -> pa.Array:
+        return function(values)
+
+    return F.arrow_udf(run, returns)
+
+
+def _flat():
+    """The function from an Arrow column of texts to (bytes, offsets), one byte per character: others than ASCII become 0."""
+
+    def flat(texts):
+        import numpy as np
+        import pyarrow as pa
+
+        texts = texts.cast(pa.large_string()).cast(pa.large_binary())
+        _, ends, data = texts.buffers()
+        offsets = np.frombuffer(ends, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, dtype=np.uint8)
+        offsets = offsets - offsets[0]
+        if len(data) and data.max() >= 128:
+            first = (data & 0xC0) != 0x80  # the first byte of a character
+            offsets = np.concatenate([[0], np.cumsum(first)])[offsets]
+            data = np.where(data < 128, data, 0)[first]
+        return data, offsets
+
+    return flat
+
+
 def encode_seq(seq: Column, alphabet: str = "dna") -> Column:
-    """Residues to vocabulary codes, one `tinyint` each.
+    """Residues to vocabulary codes, one `tinyint` each, by one table of 256 entries over the bytes of a batch.
 
-    One `translate` maps the whole string to consecutive letters, so that the per-residue step is arithmetic only.
+    Letters count in either case. Others become N, in proteins X.
     """
-    vocab, cleaned = (DNA_VOCAB, clean_dna(seq)) if alphabet == "dna" else (AA_VOCAB, clean_protein(seq))
-    ordered = F.translate(cleaned, vocab, _CODE_BASE[: len(vocab)])
-    codes = F.transform(F.split(ordered, ""), lambda c: (F.ascii(c) - ord("a")).cast("tinyint"))
-    return F.when(F.length(seq) > 0, codes).when(seq.isNotNull(), F.array().cast("array<tinyint>"))
+    vocab, other = (DNA_VOCAB, PAD) if alphabet == "dna" else (AA_VOCAB, "X")
+    table, flat = [vocab.index(chr(b).upper()) if chr(b).upper() in vocab else vocab.index(other) for b in range(128)] + [0] * 128, _flat()
+
+    def encode(texts):
+        import numpy as np
+        import pyarrow as pa
+
+        data, offsets = flat(texts)
+        codes = pa.array(np.array(table, dtype=np.int8)[data])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), codes, mask=texts.is_null() if texts.null_count else None)
+
+    return _over_batches(encode, "array<tinyint>")(seq)
 
 
 def decode_seq(codes: Column, alphabet: str = "dna") -> Column:
-    """Vocabulary codes back to residues."""
+    """Vocabulary codes back to residues; codes outside the vocabulary, and NULL ones, are left out."""
     vocab = DNA_VOCAB if alphabet == "dna" else AA_VOCAB
-    letters = F.array_join(F.transform(codes, lambda i: F.char((i + ord("a")).cast("bigint"))), "")
-    return F.translate(letters, _CODE_BASE[: len(vocab)], vocab)
+
+    def decode(lists):
+        import numpy as np
+        import pyarrow as pa
+
+        values, lengths = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        codes = values.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+        known = (codes >= 0) & (codes < len(vocab))
+        letters = np.frombuffer(vocab.encode(), dtype=np.uint8)[np.where(known, codes, 0)][known]
+        ends = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(lengths)])]
+        mask = pa.py_buffer(np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+        parts = [mask, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(letters.tobytes())]
+        return pa.Array.from_buffers(pa.string(), len(lists), parts)
+
+    return _over_batches(decode, "string")(codes)
+
+
+def codes_text(codes: Column) -> Column:
+    """Codes below 100 as decimal numbers with commas between them."""
+
+    def write(lists):
+        import numpy as np
+        import pyarrow as pa
+
+        codes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = np.where(codes < 10, 2, 3)  # digits and a comma
+        ends = np.cumsum(sizes)
+        data = np.full(ends[-1] if len(ends) else 0, ord(","), dtype=np.uint8)
+        data[ends - 2] = ord("0") + codes % 10
+        wide = codes >= 10
+        data[ends[wide] - 3] = ord("0") + codes[wide] // 10
+        # The comma after the last code of a row goes.
+        last = np.cumsum(counts)[counts > 0] - 1
+        keep = np.ones(len(data), dtype=bool)
+        keep[ends[last] - 1] = False
+        upto = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], ends])]
+        offsets = upto[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+        mask = pa.py_buffer(np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes())
+        return pa.Array.from_buffers(pa.string(), len(lists), [mask, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[keep].tobytes())])
+
+    return _over_batches(write, "string")(codes)
 
 
 def revcomp(seq: Column) -> Column:
@@ -56,9 +133,21 @@ def one_hot(code: Column, n: int) -> Column:
 
 
 def one_hot_seq(codes: Column, n: int) -> Column:
-    """One 0/1 vector per residue code, looked up in the identity matrix."""
-    identity = F.array(*[F.array(*[F.lit(int(i == j)) for j in range(n)]) for i in range(n)])
-    return F.transform(codes, lambda c: F.get(identity, c.cast("int")))
+    """One 0/1 vector per residue code, looked up in the identity matrix; a code outside of it gives zeros."""
+
+    def expand(lists):
+        import numpy as np
+        import pyarrow as pa
+
+        codes = lists.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+        counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        rows = np.vstack([np.eye(n, dtype=np.int32), np.zeros((1, n), dtype=np.int32)])
+        vectors = rows[np.where((codes >= 0) & (codes < n), codes, n)]
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * n), pa.array(vectors.ravel()))
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        return pa.ListArray.from_arrays(ends, inner, mask=lists.is_null() if lists.null_count else None)
+
+    return _over_batches(expand, "array<array<int>>")(codes)
 
 
 def kmers(seq: Column, k: int = 4) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from cladeflow.functions import sequence as S, vectors as V
 from cladeflow.operators import ordering, windows
@@ -88,11 +88,76 @@ def canonical_kmers(k: int = 4) -> list[str]:
     return sorted({min(w, w.translate(swap)[::-1]) for w in words})
 
 
+def _kmer_counter(k: int, n_keys: int):
+    """The task that counts k-mers per key in an Arrow batch. Self-contained, so that workers need numpy and arrow only."""
+    flat, most_counters = S._flat(), 1 << 22
+
+    def count(batch):
+        import numpy as np
+        import pyarrow as pa
+
+        data, offsets = flat(batch.column(n_keys))
+        keys = [batch.column(i).dictionary_encode() for i in range(n_keys)]
+        group = np.zeros(batch.num_rows, dtype=np.int64)
+        for key in keys:
+            indices = key.indices.fill_null(len(key.dictionary)).to_numpy(zero_copy_only=False)
+            group = np.unique(group * (len(key.dictionary) + 1) + indices, return_inverse=True)[1]
+        groups, first = np.unique(group, return_index=True)
+        starts, ends = offsets[:-1], np.maximum(offsets[1:] - k + 1, offsets[:-1])
+        sizes = ends - starts
+        at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        # Residues that occur, numbered; a k-mer is a number in that base.
+        used = np.flatnonzero(np.bincount(data, minlength=256))
+        base, rank = max(1, len(used)), np.zeros(256, dtype=np.int64)
+        rank[used] = np.arange(len(used))
+        if not len(at):
+            return np.zeros(0, dtype=np.int64), [], []
+        if base**k * len(groups) < 2**62:
+            small, word = rank[data], np.zeros(len(at), dtype=np.int64)
+            for j in range(k):
+                word = word * base + small[at + j]
+            word += np.repeat(group, sizes) * base**k
+            if base**k * len(groups) <= most_counters:
+                counts = np.bincount(word, minlength=base**k * len(groups))
+                found = np.flatnonzero(counts)
+                counts = counts[found]
+            else:
+                found, counts = np.unique(word, return_counts=True)
+            owner, number = found // base**k, found % base**k
+            letters = np.empty((len(found), k), dtype=np.uint8)
+            for j in reversed(range(k)):
+                letters[:, j], number = used[number % base], number // base
+        else:
+            rows = np.concatenate([np.repeat(group, sizes).astype(">i8").view(np.uint8).reshape(-1, 8), data[at[:, None] + np.arange(k)]], axis=1)
+            rows, counts = np.unique(rows, axis=0, return_counts=True)
+            owner, letters = rows[:, :8].copy().view(">i8").ravel(), rows[:, 8:].copy()
+        offsets = pa.py_buffer((np.arange(len(letters) + 1) * k).astype(np.int32).tobytes())
+        words = pa.Array.from_buffers(pa.string(), len(letters), [None, offsets, pa.py_buffer(letters.tobytes())])
+        return first[owner], words, counts
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                rows, words, counts = count(batch)
+                if len(rows):
+                    names = [*batch.schema.names[:n_keys], "kmer", "n"]
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(rows)) for i in range(n_keys)], words, pa.array(counts, pa.int64())], names=names)
+
+    return run
+
+
 def kmer_counts(df: DataFrame, keys: Sequence[str], seq: str, k: int = 4, canonical: bool = False) -> DataFrame:
-    """`keys, kmer, n`, counted before the canonical form is taken: the reversal then runs on distinct k-mers only."""
-    tiles = windows.tile(df.select(*keys, seq), seq, span=1 << 16, overlap=k - 1)
-    exploded = tiles.select(*keys, F.explode(S.kmers(F.col(seq), k)).alias("kmer"))
-    counted = exploded.groupBy(*keys, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    """`keys, kmer, n`: overlapping k-mers of residues, one byte each.
+
+    Tasks count per batch of tiles in an array of counters, and only these are shuffled. The canonical form is taken after
+    counting, on distinct k-mers.
+    """
+    tiles = windows.tile(df.select(*keys, seq), seq, span=1 << 16, overlap=k - 1).select(*keys, seq)
+    schema = T.StructType([*[tiles.schema[key] for key in keys], T.StructField("kmer", T.StringType()), T.StructField("n", T.LongType())])
+    counted = tiles.mapInArrow(_kmer_counter(k, len(keys)), schema).groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
     if not canonical:
         return counted
     merged = counted.withColumn("kmer", S.canonical_kmer(F.col("kmer")))
