@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import Catalog, hits, sequences, subject_taxonomy, table
+from catalog.aggregating import scored
+from catalog.common import CHUNKS_CTE, Catalog, hits, sequences, subject_taxonomy, table
 from catalog.files import header
 from catalog.lca import ORF_CTE, RANKS
 from catalog.models import CLASSES, SCORED_CTE, STEP, WIDTH, linear_model
 from cladeflow import scratch, spread
 from cladeflow.operators import aggregate
 from cladeflow.plans import inference
+from cladeflow.session import settle
 from cladeflow.sources import fasta
-from cladeflow.streaming import incremental
+from cladeflow.streaming import incremental, stateful
 
 catalog = Catalog()
 
@@ -40,13 +42,39 @@ def stream_mean(spark, sf):
     return incremental.latest_updates(spark, out, ["user_id"])
 
 
+def in_turn(spark, parts):
+    """A stream that brings each of the given tables in a micro-batch of its own, in their order."""
+    path = scratch(spark, "stream")
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@catalog.add("t01_ended_means", f"""
+WITH {CHUNKS_CTE} SELECT seq_id, class, round(avg(p), 6) AS p, count(*) AS n_chunks FROM probs GROUP BY seq_id, class""")
+def ended_means(spark, sf):
+    rows = settle(scored(spark, sf).select("seq_id", "chunk_id", "p"))
+    # Cuts of the order of sequences that also fall inside one: its sums are carried over.
+    last = rows.agg(F.max("seq_id")).first()[0]
+    cuts = [last * i // 5 for i in range(1, 5)]
+    part = sum(((F.col("seq_id") > c) | ((F.col("seq_id") == c) & (F.col("chunk_id") % 2 == 1))).cast("int") for c in cuts)
+    parts = [rows.where(part == i) for i in range(5)]
+    stream = in_turn(spark, [*parts, stateful.end_mark(rows, "seq_id")])
+    marked = stream.withColumn("order", F.col("seq_id")).withColumn("seq_id", F.when(F.col("p").isNotNull(), F.col("seq_id")))
+    out = scratch(spark, "means")
+    incremental.write_append(stateful.ended_means(marked, "seq_id", "order", "p"), out, scratch(spark, "query")).awaitTermination()
+    long = aggregate.long_outputs(spark.read.parquet(out), ["seq_id", "n_chunks"], "p")
+    return long.select("seq_id", F.col("class").cast("bigint").alias("class"), F.round("p", 6).alias("p"), "n_chunks")
+
+
 @catalog.add("t02_stream_hits_lca", f"""
 WITH {ORF_CTE} SELECT orf, n_hits, bitscore, domain, phylum, species FROM orf_lca""")
 def stream_hits_lca(spark, sf):
     out = scratch(spark, "hits")
     stream = replay(spark, hits(spark, sf), 4)
-    incremental.stream_hits(stream, out, scratch(spark, "query"), ["orf"], "bitscore").awaitTermination()
-    return incremental.streamed_lca(spark, out, subject_taxonomy(spark, sf), ["orf"], "subject", "bitscore", RANKS)
+    taxa = stateful.carried_lca(stream, subject_taxonomy(spark, sf), "orf", "subject", "bitscore", RANKS)
+    incremental.write_updates(taxa, out, scratch(spark, "query")).awaitTermination()
+    return incremental.latest_updates(spark, out, ["orf"])
 
 
 @catalog.add("t03_stream_metrics", """
@@ -56,12 +84,17 @@ SELECT day, event_type, count(*) AS n, avg(value) AS mean, arg_max(value, ts) AS
   round((max(epoch_us(ts)) - min(epoch_us(ts))) / 3600000000, 5) AS hours FROM e
 WHERE (day + 1) * 86400000000 <= mark GROUP BY day, event_type""")
 def stream_metrics(spark, sf):
-    # All files in one micro-batch: their age says nothing about the order of their rows, so none may count as late.
-    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     value = F.round(F.col("value") * 100).cast("bigint").alias("value")
-    stream = events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", value)
+    rows = settle(table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", value))
+    # Four parts in the order of time, each with some rows of the part before it that the watermark still lets in.
+    span = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    part = F.least(F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(span["a"]))) * 4 / (F.unix_micros(F.lit(span["b"])) - F.unix_micros(F.lit(span["a"])))), F.lit(3))
+    behind = F.floor((F.unix_micros("ts") + F.lit(1_800_000_000) - F.unix_micros(F.lit(span["a"]))) * 4 / (F.unix_micros(F.lit(span["b"])) - F.unix_micros(F.lit(span["a"]))))
+    place = F.when(F.col("event_type") == "click", F.least(behind, F.lit(3))).otherwise(part)
+    late = rows.where(part == 0).withColumn("value", F.lit(10**9).cast("bigint"))
+    parts = [rows.where(place == i) for i in range(3)] + [rows.where(place == 3).unionByName(late)]
     out = scratch(spark, "metrics")
-    windows = incremental.stream_metrics(stream, "ts", "value", ["event_type"])
+    windows = incremental.stream_metrics(in_turn(spark, parts), "ts", "value", ["event_type"])
     incremental.write_append(windows, out, scratch(spark, "query")).awaitTermination()
     found = spark.read.parquet(out)
     day = F.floor(F.unix_seconds("start") / 86400)
