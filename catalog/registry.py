@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _SECTIONS = ("scalar", "windowing", "joining", "aggregating", "evaluating", "ordering", "taxa", "lca", "pairs",
-             "trees", "graphs", "models", "files", "streams")
+             "trees", "graphs", "models", "files", "streams", "pipelines")
 
 QUERIES = {}
 ORACLES = {}

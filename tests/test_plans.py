@@ -10,7 +10,7 @@ from cladeflow.operators import windows
 # Python runs where a user model, vector blocks or a table function ask for it, and in the two fitted models.
 PYTHON = {"f08_encode", "f09_decode", "f12_one_hot", "f13_canonical_kmer", "f14_kmers", "f24_zero_fill", "a17_tetramer_freq", "x01_score_windows", "x08_classify_sequences", "x07_window_udtf", "w10_balanced_local", "j10_pairwise", "j10_mahalanobis"}
 # These run jobs of their own while the query is built.
-EAGER = ("g0", "g1", "s0", "s1", "t0", "x03", "x04", "x05", "o04", "c10", "a24", "a25", "p10", "j10", "a29")
+EAGER = ("g0", "g1", "s0", "s1", "t0", "x03", "x04", "x05", "o04", "c10", "a24", "a25", "x09", "p10", "j10", "a29")
 
 
 def plan(df):
