@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import defaultdict
@@ -275,6 +276,32 @@ def test_audit_sees_lost_pairs(spark):
         assert 1 - (1 - shared) ** nn_descent.tables_of(n) >= 0.99
 
 
+def test_audit_where_links_are_rare(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((20_000, 32))
+    x[:100:2] = x[1:100:2] + 0.01 * rng.standard_normal((50, 32))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "c long, vec array<double>")
+    nothing = spark.createDataFrame([], "c long, links long, others long")
+    assert nn_descent.audit(vectors, nothing, 32) == 0
+    alone = spark.createDataFrame([(i, np.eye(64)[i].tolist()) for i in range(64)], "c long, vec array<double>")
+    assert nn_descent.audit(alone, nothing, 64, first=16, most=16) is None
+    assert nn_descent.audit(alone, nothing, 64) == 1.0
+
+
+def test_parts_of_a_group_are_shuffled_apart(spark):
+    rows = spark.createDataFrame([(0, 1, [1.0, 0.0], 1)], "component long, c long, vec array<float>, n long")
+    plan = nn_descent.count_links(rows, 2)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(component#\d+L, i#\d+, j#\d+", plan)
+
+
+def test_vectors_in_double_precision(spark):
+    # Rounded to floats, the cosine of the first two is above the threshold; squares of the last two overflow.
+    y = 0.9 - 1e-12
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [y, math.sqrt(1 - y * y), 0.0]), (2, [0.0, 0.0, 1e200]), (3, [0.0, 0.0, 1e-200])]
+    found = nn_descent.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(0, 0, 0), (1, 0, 1), (2, 1, 2), (3, 1, 2)]
+
+
 def test_vector_blocks_add_up(spark):
     rng = np.random.default_rng(7)
     centre = rng.standard_normal(8)
