@@ -21,8 +21,8 @@ NEIGHBOURS, ENLARGED = 8, 32
 FLOOR = 0.0
 #: Rounds of descent, and turns with twice as many tables each until the audit holds.
 ROUNDS, TRIES = 4, 5
-#: Vectors of a starting bucket, aimed at and at most; vectors of a block of the exact count.
-AIMED, MOST, BLOCK = 512, 2_048, 2_048
+#: Vectors of a starting bucket, aimed at and at most; vectors of a block of the exact count, at most and in a middling group.
+AIMED, MOST, BLOCK, SMALL = 512, 2_048, 2_048, 128
 #: Share of list entries that must change for another round.
 MOVING = 0.002
 #: Vectors whose links are counted by brute force for the audit, at first and at most: more are taken until `SEEN` of them
@@ -224,11 +224,14 @@ def count_links(groups: DataFrame, width: int) -> DataFrame:
     """`c, links, others`: for each distinct vector the number of vectors it links with, itself and its copies included,
     and the number of other distinct ones.
 
-    `groups` has `component, c, vec, n`. A group is dealt into blocks of about `BLOCK` vectors, and each pair of blocks is
+    `groups` has `component, c, vec, n`. A group is dealt into blocks of at most about `BLOCK` vectors, and each pair of blocks is
     one product whose entries at the threshold are summed inside the task: no pair leaves it. Pairs of blocks are shuffled
     anew, so that those of one group go to different tasks.
     """
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
+    # Eight blocks where that leaves `SMALL` vectors in each, so that the pairs of a middling group are dealt as well.
+    blocks = F.greatest(F.ceil(F.col("_size") / BLOCK), F.least(F.ceil(F.col("_size") / SMALL), F.lit(8)))
+    sizes = sizes.select("component", blocks.cast("int").alias("blocks"))
     dealt = groups.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "vec", "n")
