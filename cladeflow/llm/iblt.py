@@ -18,6 +18,8 @@ from cladeflow.llm.common import settle, text_of
 CELLS, GROWTH = 12, 4
 #: A paragraph of more words counts as several pieces of so many.
 PIECE_WORDS = 16
+#: Steps of a range of ids at most.
+STEPS = 256
 HASHES = 3
 _LOW = (1 << 64) - 1
 
@@ -129,29 +131,40 @@ def edited(text: str, following: str) -> str:
 def with_next(docs: DataFrame, id_col: str, text_col: str, per_bucket: int = 2_000) -> DataFrame:
     """`doc_id, text, following`: each text beside the text of the next lower id; after the lowest id comes the highest.
 
-    Documents go into buckets by id: 256 ranges between quantiles of the id, each cut into equal steps, so that a bucket
-    has about `per_bucket` rows. The first document of each bucket is also sent, as a guest, to the bucket before it,
-    where it stands last; so texts are shuffled once, and the only window without a partition runs over the bucket list.
-    Null ids stand after all others in one bucket. Rows of one id are ordered by the digest of their text.
+    Documents go into buckets by id: 256 ranges between quantiles of the id, each cut into at most `STEPS` equal steps, so
+    that a bucket has about `per_bucket` rows, and more only in tables beyond 131 million rows, which the window then sorts
+    on disk. The first document of each bucket is also sent, as a guest, to the bucket before it, where it stands last; so
+    texts are shuffled once. An id that fills a whole range, and the rows without an id, which stand after all others, are
+    cut by the text's digest, by which rows of one id are ordered; only equal texts of one id meet in one bucket. The list
+    of buckets thus never has more than 256 · `STEPS` + 129 · 256 rows, about 100,000 of some 60 bytes, at any size of the
+    table: it is what passes the window without a partition, and what is broadcast.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    known = ids.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("doc_id", [i / 256 for i in range(257)], 10_000).alias("cuts")).first()
-    cuts = sorted(set(known["cuts"] or []))
-    steps = max(1, math.ceil(known["n"] / (256 * per_bucket)))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    quantiles = F.percentile_approx("doc_id", [i / 256 for i in range(257)], 10_000).alias("cuts")
+    known = ids.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named"), quantiles).first()
+    drawn = known["cuts"] or []
+    cuts, often = sorted(set(drawn)), sorted({a for a, b in zip(drawn, drawn[1:]) if a == b})
+    steps = min(STEPS, max(1, math.ceil(known["n"] / (256 * per_bucket))))
     at = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array(F.lit(0).cast("long"))
     cell = F.size(F.filter(at, lambda c: c <= F.col("doc_id")))
     low, high = F.get(at, cell - 1), F.coalesce(F.get(at, cell), F.col("doc_id") + 1)
     inside = F.floor((F.col("doc_id") - low) / (high - low) * steps)
-    bucket = F.when(F.col("doc_id").isNull(), -1).when(cell == 0, 0).otherwise(cell * steps + F.least(inside, F.lit(steps - 1)))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("_digest", F.md5("text"))
-    dealt = texts.withColumn("_bucket", bucket.cast("long"))
+    bucket = F.when(F.col("doc_id").isNull(), -1).when(cell == 0, 0).otherwise(cell * steps + F.least(inside, F.lit(steps - 1))).cast("long")
+    # A frequent id is a cut, so it is the lowest of its bucket and its parts stand after the other rows.
+    parted = F.col("doc_id").isNull() | (F.array_contains(F.array(*[F.lit(c) for c in often]), F.col("doc_id")) if often else F.lit(False))
+    part = F.lit(255) - F.conv(F.substring("_digest", 1, 2), 16, 10).cast("long")
+    bucket = bucket * 512 + F.when(parted, part).otherwise(256)
+    dealt = ids.withColumn("_digest", F.md5("text")).withColumn("_bucket", bucket)
     order = [F.col("doc_id").desc_nulls_last(), F.col("_digest")]
-    heads = ids.withColumn("_bucket", bucket.cast("long")).groupBy("_bucket").agg(F.max("doc_id").alias("doc_id"))
+    # Texts are read for this list only where some id is parted.
+    least = F.min(F.when(parted, F.col("_digest"))) if often or known["named"] < known["n"] else F.lit(None).cast("string")
+    heads = dealt.groupBy("_bucket").agg(F.max("doc_id").alias("_head"), least.alias("_first"))
     downwards = Window.orderBy(F.col("_bucket").desc())
     targets = heads.select(
-        "_bucket", "doc_id", F.lag("_bucket").over(downwards).alias("_before"), F.min("_bucket").over(Window.partitionBy()).alias("_last")
-    ).select(F.col("doc_id").alias("_head"), F.col("_bucket").alias("_own"), F.coalesce("_before", "_last").alias("_to"))
-    found = dealt.join(F.broadcast(settle(targets, "heads")), (F.col("_bucket") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_head")))
+        F.col("_bucket").alias("_own"), "_head", "_first", F.lag("_bucket").over(downwards).alias("_before"), F.min("_bucket").over(Window.partitionBy()).alias("_last")
+    ).select("_own", "_head", "_first", F.coalesce("_before", "_last").alias("_to"))
+    is_head = F.col("doc_id").eqNullSafe(F.col("_head")) & F.coalesce(F.col("_digest") == F.col("_first"), F.lit(True))
+    found = dealt.join(F.broadcast(settle(targets, "heads")), (F.col("_bucket") == F.col("_own")) & is_head)
     guests = found.groupBy("_to").agg(F.min_by(F.struct("doc_id", "text", "_digest"), "_digest").alias("g")).select(
         "g.doc_id", "g.text", "g._digest", F.col("_to").alias("_bucket"), F.lit(1).alias("_guest")
     )

@@ -112,3 +112,18 @@ def test_equal_texts_have_equal_fingerprints(spark):
     assert len({(r["doc_id"] % 4, r["fingerprint"]) for r in found}) == 4
     rows, empty = frames(spark)
     assert iblt.fingerprint_edits(rows).count() == rows.count() and iblt.fingerprint_edits(empty).count() == 0
+
+
+def test_next_documents_of_repeated_and_null_ids(spark):
+    rng = random.Random(4)
+    rows = [(i, f"text {rng.random()}") for i in rng.sample(range(10_000), 1200)]
+    rows += [(5_000, f"hot {rng.random()}") for _ in range(700)] + [(None, f"none {rng.random()}") for _ in range(700)]
+    rows += [(rows[0][0], "twice"), (7, None), (7, "")]
+    rng.shuffle(rows)
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+    want = [(d, t, order[(i + 1) % len(order)][1]) for i, (d, t) in enumerate(order)]
+    found = iblt.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", per_bucket=1)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
+    buckets = found._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in buckets
