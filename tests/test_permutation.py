@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from cladeflow.operators import ordering, windows
 
@@ -51,3 +51,18 @@ def test_epochs_of_an_index_with_and_without_gaps(spark, shift):
     plain = ordering.epoch_order(df, "i", 1, 11, shuffle=False).toPandas().sort_values("position")
     assert plain.i.is_monotonic_increasing
     assert ordering.epoch_order(df.where("false"), "i", 7, 11).count() == 0
+
+
+def test_the_permutation_of_a_partition_is_worked_out_once(spark):
+    # 150,000 rows took minutes while each round of each row hashed the name of its partition again.
+    import time
+
+    start = time.time()
+    out = ordering.epoch_order(spark.range(150_000).toDF("i"), "i", 7, 11)
+    found = out.agg(F.count_distinct("position").alias("n"), F.min("position").alias("low"), F.max("position").alias("high")).first()
+    assert tuple(found) == (150_000, 0, 149_999)
+    assert time.time() - start < 45
+    one = out.where("part = 3").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("part")))
+    plain = ordering.permuted(F.expr("i div 7"), F.col("n"), ordering.permutation_keys(11, "part"))
+    shifts = one.where("i < 700").select((F.col("position") - plain).alias("start")).distinct().collect()
+    assert len(shifts) == 1
