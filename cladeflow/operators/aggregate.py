@@ -90,7 +90,7 @@ def canonical_kmers(k: int = 4) -> list[str]:
 
 def _kmer_counter(k: int, n_keys: int):
     """The task that counts k-mers per key in an Arrow batch. Self-contained, so that workers need numpy and arrow only."""
-    flat, most_counters = S._flat(), 1 << 22
+    flat, most_counters, most_residues = S._flat(), 1 << 22, S.PIECE
 
     def count(batch):
         import numpy as np
@@ -136,11 +136,16 @@ def _kmer_counter(k: int, n_keys: int):
         return first[owner], words, counts
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
+            # The arrays of numbers beside a piece are many times its residues: pieces are bounded by these, not by rows.
+            lengths = pc.fill_null(pc.binary_length(whole.column(n_keys)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // most_residues, prepend=-1)).tolist()
+            for start, end in zip(cuts, [*cuts[1:], whole.num_rows]):
+                batch = whole.slice(start, end - start)
                 rows, words, counts = count(batch)
                 if len(rows):
                     names = [*batch.schema.names[:n_keys], "kmer", "n"]
