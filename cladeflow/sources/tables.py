@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Mapping, Sequence
 
@@ -140,8 +141,12 @@ def write_dataset(path: str, sequences: DataFrame, taxa: DataFrame, genomes: Dat
     Sequences are spread over buckets by record, so that one large genome does not end in one file, and sorted by
     genome inside them, so that a filter on the genome skips row groups.
     """
+    # A bucket has as many tasks as the input has partitions for it.
+    tasks = math.ceil(sequences.rdd.getNumPartitions() / n_buckets)
     bucket = F.pmod(F.xxhash64("seq_id"), F.lit(n_buckets)).cast("int")
-    spread = sequences.withColumn("bucket", bucket).repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "genome_id")
+    part = F.pmod(F.xxhash64("seq_id", F.lit(1)), F.lit(tasks)).cast("int")
+    dealt = sequences.withColumn("bucket", bucket).repartitionById(n_buckets * tasks, F.col("bucket") * tasks + part)
+    spread = dealt.sortWithinPartitions("bucket", "genome_id")
     spread.write.partitionBy("bucket").parquet(os.path.join(path, "sequences"))
     for name, df in {"taxa": taxa, "genomes": genomes, **extra}.items():
         df.write.parquet(os.path.join(path, name))
