@@ -59,55 +59,115 @@ def end_mark(rows: DataFrame, order: str, slack: int = 0) -> DataFrame:
     return after.select(*[F.col(c) if c == order else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
 
 
-def carried_lca(stream: DataFrame, tax: DataFrame, key: str, subject: str, score: str, ranks: Sequence[str], frac: float = 0.9) -> DataFrame:
+#: Groups of keys whose summaries are kept together.
+BUCKETS = 1024
+
+
+def carried_lca(
+    stream: DataFrame, tax: DataFrame, key: str, subject: str, score: str, ranks: Sequence[str], frac: float = 0.9, buckets: int = BUCKETS
+) -> DataFrame:
     """ORF taxa kept up to date: `key, n_hits, score` and the ranks, for each ORF that a micro-batch has changed.
 
     What is kept of an ORF are its distinct scores within `frac` of its best one, each with its number of hits, those with a
     lineage, and the first and last name per rank with the number of names. Such summaries add up, a better hit drops those it
     leaves behind, and the taxon follows from them: hits themselves are not kept. For `update` mode; scores are whole numbers.
+
+    Most ORFs have a few hits, so ORFs are dealt to `buckets` by a hash: the summaries of a bucket are one value in the state
+    store, and a micro-batch is added to them column by column. ORFs without a key have a bucket of their own.
     """
     ranks = list(ranks)
     known = tax.select(F.col(subject).alias("_subject"), *ranks, F.lit(True).alias("_known"))
+    number = F.col(score).cast("bigint")
     named = stream.join(known, F.col(subject) == F.col("_subject"), "left").select(
-        F.col(key).alias("key"), F.col(score).cast("bigint").alias("score"), F.coalesce("_known", F.lit(False)).alias("known"), *ranks
+        F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(F.col(key)), F.lit(buckets))).cast("int").alias("bucket"),
+        F.col(key).alias("key"),
+        F.coalesce(number, F.lit(0)).alias("score"),
+        number.isNotNull().cast("bigint").alias("rows"),
+        F.coalesce("_known", F.lit(False)).cast("bigint").alias("known"),
+        *[F.col(r).alias(f"name{i}") for i, r in enumerate(ranks)],
     )
-    fields = [T.StructField("score", T.LongType()), T.StructField("rows", T.LongType()), T.StructField("known", T.LongType())]
-    names = [T.StructField(n, T.ArrayType(T.StringType())) for n in ("low", "high")] + [T.StructField("named", T.ArrayType(T.LongType()))]
-    step = T.StructType([*fields, *names])
-    state = T.StructType([T.StructField("steps", T.ArrayType(step))])
+    state = T.StructType([T.StructField("steps", T.BinaryType())])
     output = T.StructType(
         [T.StructField(key, named.schema["key"].dataType), T.StructField("n_hits", T.LongType()), T.StructField(score, T.DoubleType())]
         + [T.StructField(r, T.StringType()) for r in ranks]
     )
+    places = range(len(ranks))
+
+    def steps_of(frame):
+        """Hits as summaries of one hit each."""
+        frame = frame[frame["rows"] > 0]
+        steps = frame[["key", "score", "rows", "known"]].copy()
+        for i in places:
+            names = frame[f"name{i}"]
+            steps[f"low{i}"], steps[f"high{i}"], steps[f"named{i}"] = names, names, names.notna().astype("int64")
+        return steps
+
+    def added(parts):
+        """Summaries of the same score of a key in one, and of those the ones near the best."""
+        import numpy as np
+        import pandas as pd
+
+        steps = pd.concat(parts, ignore_index=True)
+        lists, rules = {}, {"rows": "sum", "known": "sum"}
+        for i in places:
+            # Names are numbered in order, none being beyond all of them.
+            codes, values = pd.factorize(pd.concat([steps[f"low{i}"], steps[f"high{i}"]], ignore_index=True).astype(object), sort=True)
+            lists[i] = np.append(values.to_numpy() if hasattr(values, "to_numpy") else values, None)
+            low, high = codes[: len(steps)], codes[len(steps) :]
+            steps[f"low{i}"], steps[f"high{i}"] = np.where(low < 0, len(values), low), high
+            rules |= {f"low{i}": "min", f"high{i}": "max", f"named{i}": "sum"}
+        steps = steps.groupby(["key", "score"], as_index=False, sort=False).agg(rules)
+        steps = steps[steps["score"] >= frac * steps.groupby("key", sort=False)["score"].transform("max")].reset_index(drop=True)
+        for i in places:
+            for name in (f"low{i}", f"high{i}"):
+                steps[name] = lists[i][steps[name].to_numpy()]
+        return steps
+
+    def taxa_of(steps):
+        import numpy as np
+
+        numbered = steps[["key", "rows", "known", *[f"named{i}" for i in places]]].assign(total=steps["score"] * steps["rows"])
+        bounds, rules = {}, {c: "sum" for c in numbered.columns if c != "key"}
+        for i in places:
+            # A step without names has none of either; its key then has too few names, or none at all.
+            bounds[f"same{i}"] = steps[f"low{i}"].eq(steps[f"high{i}"]) | steps[f"low{i}"].isna()
+            first = steps[f"low{i}"].groupby(steps["key"], sort=False).transform("first")
+            bounds[f"same{i}"] &= steps[f"low{i}"].isna() | steps[f"low{i}"].eq(first)
+            rules |= {f"same{i}": "all", f"low{i}": "first"}
+        whole = numbered.assign(**bounds, **{f"low{i}": steps[f"low{i}"] for i in places}).groupby("key", as_index=False, sort=False).agg(rules)
+        out = {key: whole["key"], "n_hits": whole["rows"], score: whole["total"] / whole["rows"]}
+        for i, r in enumerate(ranks):
+            agreed = whole[f"same{i}"] & whole[f"low{i}"].notna() & (whole[f"named{i}"] == whole["known"])
+            out[r] = np.where(agreed, whole[f"low{i}"].astype(object), None)
+        return out
 
     def update(group, frames: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
         import pandas as pd
+        import pyarrow as pa
 
-        steps = {s[0]: list(s) for s in (store.get[0] if store.exists else [])}
+        unnamed, waiting, n, touched = group[0] == -1, [], 0, []
+        if store.exists:
+            waiting.append(pa.ipc.open_stream(bytes(store.get[0])).read_pandas())
         for frame in frames:
-            for value, known, *taxa in zip(frame["score"], frame["known"], *[frame[r] for r in ranks]):
-                if value is None or value != value:
-                    continue
-                s = steps.setdefault(int(value), [int(value), 0, 0, [None] * len(ranks), [None] * len(ranks), [0] * len(ranks)])
-                s[1], s[2] = s[1] + 1, s[2] + int(known)
-                low, high, count = list(s[3]), list(s[4]), list(s[5])
-                for i, name in enumerate(taxa):
-                    if name is not None:
-                        low[i] = name if low[i] is None or name < low[i] else low[i]
-                        high[i] = name if high[i] is None or name > high[i] else high[i]
-                        count[i] += 1
-                s[3:] = low, high, count
-        if not steps:
+            if unnamed:
+                frame = frame.assign(key=0)
+            touched.append(frame["key"].drop_duplicates())
+            waiting.append(steps_of(frame))
+            n += len(waiting[-1])
+            if n > max(100_000, len(waiting[0])):
+                waiting, n = [added(waiting)], 0
+        waiting = [x for x in waiting if len(x)]
+        if not waiting:
             return
-        best = max(steps)
-        kept = [s for s in steps.values() if s[0] >= frac * best]
-        store.update(([tuple(s) for s in kept],))
-        rows, known = sum(s[1] for s in kept), sum(s[2] for s in kept)
-        out = {key: [group[0]], "n_hits": [rows], score: [sum(s[0] * s[1] for s in kept) / rows]}
-        for i, r in enumerate(ranks):
-            low, high = {s[3][i] for s in kept if s[3][i] is not None}, {s[4][i] for s in kept if s[4][i] is not None}
-            agreed = len(low | high) == 1 and sum(s[5][i] for s in kept) == known
-            out[r] = [min(low) if agreed else None]
-        yield pd.DataFrame(out)
-
-    return named.groupBy("key").applyInPandasWithState(update, output, state, "update", "NoTimeout")
+        steps = added(waiting)
+        table = pa.Table.from_pandas(steps, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        store.update((sink.getvalue().to_pybytes(),))
+        changed = steps[steps["key"].isin(pd.concat(touched))].reset_index(drop=True)
+        if len(changed):
+            out = pd.DataFrame(taxa_of(changed))
+            yield out.assign(**{key: None}) if unnamed else out
+
+    return named.groupBy("bucket").applyInPandasWithState(update, output, state, "update", "NoTimeout")
