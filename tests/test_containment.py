@@ -90,3 +90,15 @@ def test_a_record_of_five_million_residues(spark):
     unchanged = sum(text[i + 500] == "A" for i in range(7, n, 100_000))
     assert kinds == {(True, False): 5000 + unchanged, (False, False): 50 - unchanged}
     assert time.time() - start < 120
+
+
+def test_long_windows_are_sampled_sparsely():
+    rng = random.Random(6)
+    text = "".join(rng.choice("ACGT") for _ in range(20_000))
+    counts = [len(containment._sampler(span)(text.encode())[0]) for span in containment.SPANS]
+    assert counts[0] > 3 * counts[1] > 9 * counts[2] > 0
+    for span in containment.SPANS:
+        whole = set(zip(*(x.tolist() for x in containment._sampler(span)(text.encode()))))
+        for at in range(0, 15_000, 977):
+            hashes, places = containment._sampler(span)(text[at : at + containment.SEED + span - 1].encode())
+            assert len(hashes) == 1 and {(h, p + at) for h, p in zip(hashes.tolist(), places.tolist())} <= whole

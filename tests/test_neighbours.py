@@ -98,3 +98,30 @@ def test_profiles_visit_each_pair_of_blocks_once(spark, metric):
         assert d[i, got[i]["nearest"]] == pytest.approx(others.min(), abs=1e-7)
     first, _ = distance._block_pairs(df, "id", "v", 4)
     assert first.count().where("bi > bj").count() == 0
+
+
+def test_distances_of_blocks_are_never_held_whole():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    names = ["id", "n", "total", "min_d", "nearest", "max_d"]
+    x, y = rng.normal(size=(700, 4)), rng.normal(size=(500, 4))
+    x[300] = y[400]
+    y[1] = np.nan
+
+    def side(ids, v):
+        return pa.table({"id": pa.array(ids), "v": pa.array(v.tolist())})
+
+    between = distance.between_vectors("euclidean")
+    held = []
+    task = distance._block_function("euclidean", "profile", names)
+    cell = next(c for n, c in zip(task.__code__.co_freevars, task.__closure__) if n == "between")
+    cell.cell_contents = lambda a, b: held.append(len(a) * len(b)) or between(a, b)
+    got = task((pa.scalar(0), pa.scalar(1)), side(range(700), x), side(range(1000, 1500), y)).to_pandas().set_index("id")
+    assert len(got) == 1200 and max(held) <= distance.STRIP_ROWS * 500
+    d = between(x, y)
+    assert got.loc[300, "min_d"] != got.loc[300, "min_d"]  # NaN is the least
+    others = got.loc[[1000 + j for j in range(500) if j != 1]]
+    whole = np.delete(d, 1, axis=1)
+    assert np.allclose(others["total"], whole.sum(axis=0)) and (others["n"] == 700).all()
+    assert (others["min_d"] == whole.min(axis=0)).all() and (others["nearest"] == whole.argmin(axis=0)).all() and (others["max_d"] == whole.max(axis=0)).all()

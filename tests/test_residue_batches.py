@@ -50,3 +50,23 @@ def test_counters_leave_the_task_not_residues(spark):
     text = aggregate.tetramer_freq(df, ["g"], "s")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in text and "regexp_extract_all" not in text
     assert aggregate.kmer_counts(df, [], "s").count() == 4
+
+
+def test_what_a_function_needs_does_not_grow_with_the_batch(monkeypatch):
+    import pyarrow as pa
+
+    from cladeflow.functions import sequence as S
+
+    sizes, held = [], []
+    monkeypatch.setattr(S, "PIECE", 100)
+    monkeypatch.setattr(S.F, "arrow_udf", lambda run, returns: held.append(run))
+
+    def double(texts):
+        sizes.append(sum(len(t or "") for t in texts.to_pylist()))
+        return pa.array([None if t is None else t + t for t in texts.to_pylist()], pa.string())
+
+    S._over_batches(double, "string", S._text_bytes())
+    texts = ["A" * n for n in (0, 30, 60, 250, 10, 0, 99, 2)] + [None, "C" * 40]
+    got = held[0](pa.array(["skipped", *texts]).slice(1)).to_pylist()
+    assert got == [None if t is None else t + t for t in texts]
+    assert len(sizes) > 3 and sorted(sizes)[-1] == 250 and sorted(sizes)[-2] <= 102

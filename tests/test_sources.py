@@ -144,3 +144,11 @@ def test_vectors_keep_their_order(spark, tmp_path):
     freq = aggregate.tetramer_freq(spark.createDataFrame([("a", "ACGTACGT")], "name string, s string"), ["name"], "s")
     tables.write_tnf(freq, f"{tmp_path}/t")
     assert tables.read_tnf(spark, f"{tmp_path}/t", tables.read_vectors(spark, f"{tmp_path}/v")).count() == freq.count()
+
+
+def test_a_bucket_is_written_by_as_many_tasks_as_its_rows_need(spark, tmp_path):
+    seqs = spark.range(0, 4000, 1, 12).selectExpr("id AS seq_id", "'g' AS genome_id", "'l' AS label", "'ACGT' AS seq")
+    tables.write_dataset(str(tmp_path), seqs, seqs.select("label").distinct(), seqs.select("genome_id").distinct(), n_buckets=3)
+    for bucket in (tmp_path / "sequences").glob("bucket=*"):
+        assert len(list(bucket.glob("*.parquet"))) == 4
+    assert tables.read_dataset(spark, str(tmp_path), "sequences").agg({"seq_id": "sum"}).first()[0] == 4000 * 3999 // 2

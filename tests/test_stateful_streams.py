@@ -57,3 +57,27 @@ def test_hit_taxa_change_only_where_hits_came(spark, tmp_path):
     got = incremental.latest_updates(spark, f"{tmp_path}/out", ["orf"]).collect()
     key = lambda r: (r["orf"], r["n_hits"], round(r["score"], 9), r["domain"], r["species"])
     assert sorted(map(key, got), key=str) == sorted(map(key, want), key=str)
+
+
+def test_hits_without_a_key_or_score_and_keys_of_one_bucket(spark, tmp_path):
+    tax = spark.createDataFrame([(1, "a", None), (2, "a", "x"), (3, "b", "y")], "subject long, domain string, species string")
+    rows = [("p", 1, 90, 0), ("p", 2, 100, 1), ("q", 3, None, 0), ("q", 9, None, 1), (None, 2, 50, 0), (None, 3, 10, 1), ("r", 9, -5, 0), ("s", 2, 7, 0), ("s", 2, 7, 1)]
+    df = spark.createDataFrame(rows, "orf string, subject long, score long, part int")
+    parts = [df.where(f"part = {n}").drop("part") for n in range(2)]
+    taxa = stateful.carried_lca(in_turn(spark, parts), tax, "orf", "subject", "score", ["domain", "species"], buckets=1)
+    incremental.write_updates(taxa, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    got = {tuple(r) for r in incremental.latest_updates(spark, f"{tmp_path}/out", ["orf"]).collect()}
+    assert got >= {("p", 2, 95.0, "a", None), (None, 1, 50.0, "a", "x"), ("s", 2, 7.0, "a", "x")}
+    assert "q" not in {r[0] for r in got}
+
+
+def test_many_keys_of_a_few_hits_take_no_call_each(spark, tmp_path):
+    import time
+
+    tax = spark.createDataFrame([(s, f"d{s % 2}") for s in range(10)], "subject long, domain string")
+    hits = spark.range(120_000).selectExpr("id div 2 AS orf", "id % 10 AS subject", "100 + id % 2 AS score")
+    taxa = stateful.carried_lca(in_turn(spark, [hits]), tax, "orf", "subject", "score", ["domain"], buckets=16)
+    start = time.time()
+    incremental.write_updates(taxa, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 60_000
+    assert time.time() - start < 30
