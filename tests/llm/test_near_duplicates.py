@@ -199,6 +199,21 @@ def test_lines_of_one_simhash_are_all_compared(spark):
     assert kept_lines(spark, lines) == kept and 5 < len(kept) < len(lines)
 
 
+def test_lines_with_one_passage_are_not_paired(spark, monkeypatch):
+    """Long lines that share most of their words, none alike: their comparisons follow their number, not its square."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(180)]
+    lines = [" ".join([f"w{rng.randrange(10**9)}" for _ in range(60)] + passage + [f"w{rng.randrange(10**9)}" for _ in range(60)]) for _ in range(150)]
+    compared, verified = [], fuzzy_lines._verified
+
+    def counted(pairs, classes):
+        compared.append(pairs.distinct().count())
+        return verified(pairs, classes)
+
+    monkeypatch.setattr(fuzzy_lines, "_verified", counted)
+    assert kept_lines(spark, lines) == set(range(150)) and sum(compared) < 10 * len(lines)
+
+
 def test_lines_of_odd_tables(spark):
     rows, empty = frames(spark)
     found = fuzzy_lines.dedup_lines(rows).select("row.doc_id", F.col("row.text").alias("given"), "text", "n_lines", "n_dropped").collect()
