@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 from collections import defaultdict
@@ -229,6 +230,31 @@ def test_lines_of_odd_tables(spark):
     assert fuzzy_lines.dedup_lines(empty).count() == 0
 
 
+def test_word_levels_are_of_all_lines(spark):
+    n = 150_000
+    lines = spark.range(n).select(F.col("id").alias("c"), F.concat(F.lit("same w"), "id").alias("line"))
+    levels = np.frombuffer(fuzzy_lines.word_levels(lines), np.uint8).reshape(2, -1)
+    sign = word_hashes(["same"])[0]
+    sign = (sign - 2**64 if sign >> 63 else sign) % fuzzy_lines.SIGNS
+    signs = [(x - 2**64 if x >> 63 else x) % fuzzy_lines.SIGNS for x in word_hashes(f"w{i}" for i in range(n))]
+    cells = [(x % fuzzy_lines.CELLS, x // (fuzzy_lines.SIGNS // fuzzy_lines.CELLS)) for x in [*signs, *[sign] * n]]
+    for row in (0, 1):
+        counts = np.bincount([c[row] for c in cells], minlength=fuzzy_lines.CELLS)
+        assert levels[row].tolist() == [round(3 * math.log2(x)) if x else 0 for x in counts]
+    # The plan, which the driver keeps in text, holds no more than these.
+    assert levels.nbytes <= 1 << 15
+
+
+def test_lines_leave_little_scratch(spark):
+    rng = random.Random(13)
+    lines = [" ".join(f"w{rng.randrange(60)}" for _ in range(12)) for _ in range(400)]
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    kept_lines(spark, lines)
+    left = [name.rpartition("-")[0] for name in set(os.listdir(folder)) - before]
+    assert "lines" in left and not {"named", "open", "mixed", "keys"} & {*left}
+
+
 # -- vectors ---------------------------------------------------------------------------------------------------------
 
 
