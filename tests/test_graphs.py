@@ -219,3 +219,12 @@ def test_a_cycle_is_no_tree(spark):
     for build in (trees.ancestor_closure, trees.lift):
         with pytest.raises(ValueError, match="own ancestor"):
             build(edges)
+
+
+def test_whitening_leaves_null_vectors_null(spark):
+    x = np.random.default_rng(5).normal(size=(50, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, None)]
+    found = {r["id"]: r["v"] for r in distance.whiten(spark.createDataFrame(rows, "id long, v array<double>"), "v").collect()}
+    assert found.pop(50) is None
+    w = np.array([found[i] for i in range(50)])
+    assert np.allclose(np.cov(w.T), np.eye(3))

@@ -125,3 +125,21 @@ def test_distances_of_blocks_are_never_held_whole():
     whole = np.delete(d, 1, axis=1)
     assert np.allclose(others["total"], whole.sum(axis=0)) and (others["n"] == 700).all()
     assert (others["min_d"] == whole.min(axis=0)).all() and (others["nearest"] == whole.argmin(axis=0)).all() and (others["max_d"] == whole.max(axis=0)).all()
+
+
+def test_profiles_of_several_metrics_meet_once(spark):
+    x = clustered(120)
+    x[7] = x[3] + 1e-9  # a difference that is lost in a matrix product
+    df = frame(spark, x + 40.0)
+    rows = distance.distance_profile(df, "id", "v", distance.METRICS, 3)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
+    got = {(r["metric"], r["id"]): r for r in rows.collect()}
+    assert len(got) == len(distance.METRICS) * len(x)
+    for metric in distance.METRICS:
+        d = distance.between_vectors(metric)(x + 40.0, x + 40.0)
+        for i in range(len(x)):
+            others = np.delete(d[i], i)
+            r = got[metric, i]
+            assert [r["n"], r["mean_d"], r["max_d"]] == pytest.approx([len(x) - 1, others.mean(), others.max()], rel=1e-9, abs=1e-9)
+            if metric in ("euclidean", "sqeuclidean"):
+                assert r["min_d"] == others.min() and d[i, r["nearest"]] == others.min()
