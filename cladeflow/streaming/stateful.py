@@ -73,7 +73,8 @@ def carried_lca(
     leaves behind, and the taxon follows from them: hits themselves are not kept. For `update` mode; scores are whole numbers.
 
     Most ORFs have a few hits, so ORFs are dealt to `buckets` by a hash: the summaries of a bucket are one value in the state
-    store, and a micro-batch is added to them column by column. ORFs without a key have a bucket of their own.
+    store, packed, with each name once, and a micro-batch is added to them column by column. ORFs without a key have a bucket
+    of their own.
     """
     ranks = list(ranks)
     known = tax.select(F.col(subject).alias("_subject"), *ranks, F.lit(True).alias("_known"))
@@ -141,13 +142,34 @@ def carried_lca(
             out[r] = np.where(agreed, whole[f"low{i}"].astype(object), None)
         return out
 
+    def packed(steps) -> bytes:
+        import pyarrow as pa
+
+        table = pa.Table.from_pandas(steps, preserve_index=False)
+        for i in places:
+            for name in (f"low{i}", f"high{i}"):
+                names = table.column(name).cast(pa.string()).combine_chunks().dictionary_encode()
+                table = table.set_column(table.schema.get_field_index(name), name, names)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    def unpacked(kept: bytes):
+        import pyarrow as pa
+
+        table = pa.ipc.open_stream(kept).read_all()
+        for i, field in enumerate(table.schema):
+            if pa.types.is_dictionary(field.type):
+                table = table.set_column(i, field.name, table.column(i).cast(field.type.value_type))
+        return table.to_pandas()
+
     def update(group, frames: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
         import pandas as pd
-        import pyarrow as pa
 
         unnamed, waiting, n, touched = group[0] == -1, [], 0, []
         if store.exists:
-            waiting.append(pa.ipc.open_stream(bytes(store.get[0])).read_pandas())
+            waiting.append(unpacked(bytes(store.get[0])))
         for frame in frames:
             if unnamed:
                 frame = frame.assign(key=0)
@@ -160,11 +182,7 @@ def carried_lca(
         if not waiting:
             return
         steps = added(waiting)
-        table = pa.Table.from_pandas(steps, preserve_index=False)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as writer:
-            writer.write_table(table)
-        store.update((sink.getvalue().to_pybytes(),))
+        store.update((packed(steps),))
         changed = steps[steps["key"].isin(pd.concat(touched))].reset_index(drop=True)
         if len(changed):
             out = pd.DataFrame(taxa_of(changed))

@@ -143,3 +143,20 @@ def test_profiles_of_several_metrics_meet_once(spark):
             assert [r["n"], r["mean_d"], r["max_d"]] == pytest.approx([len(x) - 1, others.mean(), others.max()], rel=1e-9, abs=1e-9)
             if metric in ("euclidean", "sqeuclidean"):
                 assert r["min_d"] == others.min() and d[i, r["nearest"]] == others.min()
+
+
+def test_blocks_are_visited_in_rounds(spark, monkeypatch):
+    assert neighbours.rounds({}, 10) == [] and neighbours.rounds({3: 4, 1: 5, 7: 2, 9: 30, 10: 1}, 10) == [(1, 3), (7, 7), (9, 9), (10, 10)]
+    x = np.random.default_rng(2).normal(size=(200, 12))  # nothing can be left out
+    df, ids = frame(spark, x), np.arange(200)
+    visit, seen = neighbours._visit, []
+
+    def counted(left, *rest):
+        seen.append(left.selectExpr("sum(size(visits)) AS n").first()["n"])
+        return visit(left, *rest)
+
+    monkeypatch.setattr(neighbours, "_visit", counted)
+    monkeypatch.setattr(neighbours, "ROUND_ROWS", 1)
+    found = neighbours.nearest(df, df, "id", "v", 4, block_rows=20)
+    assert sorted((r["id"], r["neighbour"], round(r["d"], 7), r["rank"]) for r in found.collect()) == all_pairs(x, x, ids, ids, "euclidean", 4)
+    assert len(seen) > 3 and max(seen) <= 2 * 200
