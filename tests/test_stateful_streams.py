@@ -81,3 +81,15 @@ def test_many_keys_of_a_few_hits_take_no_call_each(spark, tmp_path):
     incremental.write_updates(taxa, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 60_000
     assert time.time() - start < 30
+
+
+def test_state_of_hits_holds_a_name_once(spark, tmp_path):
+    rows = spark.range(20_000).select((F.col("id") % 5_000).alias("orf"), (F.col("id") % 7).alias("subject"), F.lit(100).cast("bigint").alias("score"))
+    tax = spark.range(7).select(F.col("id").alias("subject"), F.lit("d" * 300).alias("domain"), F.concat(F.lit("s" * 300), "id").alias("species"))
+    taxa = stateful.carried_lca(in_turn(spark, [rows.where("id < 9000"), rows.where("id >= 9000")]), tax, "orf", "subject", "score", ["domain", "species"], buckets=4)
+    query = incremental.write_updates(taxa, f"{tmp_path}/out", f"{tmp_path}/ck")
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 4
+    assert query.lastProgress["stateOperators"][0]["memoryUsedBytes"] < 1_000_000
+    found = incremental.latest_updates(spark, f"{tmp_path}/out", ["orf"])
+    assert found.count() == 5_000 and found.where(F.col("domain") == "d" * 300).where("n_hits = 4").count() == 5_000
