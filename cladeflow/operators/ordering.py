@@ -324,6 +324,10 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int)
     return ranked.where(F.col("_rn") <= n).drop("_rn")
 
 
+#: Up to so many partitions of an epoch are written into its plan.
+PLANNED_PARTITIONS = 64
+
+
 def epoch_order(df: DataFrame, index: str, n_partitions: int, seed: int, max_samples: int | None = None, shuffle: bool = True) -> DataFrame:
     """Sampling order without replacement: `part, position`.
 
@@ -349,13 +353,20 @@ def epoch_order(df: DataFrame, index: str, n_partitions: int, seed: int, max_sam
     # What names and moves the rows of a partition is worked out once for it, not in every round of every row.
     owns = rows.sparkSession.createDataFrame([(p, starts[p], sizes[p]) for p in visits], "part int, _start long, _n long")
     owns = owns.withColumn("_rounds", permutation_rounds(F.col("_n"), permutation_keys(seed, "part")))
+    columns = [*df.columns, "part"]
     if ordinal is None:
-        rows = global_rank(rows, id_buckets(index), [F.col(index)], ["part"])
-        ordinal = F.col("rank") - 1
+        rows = global_rank(rows, id_buckets(index), [F.col(index)], ["part"]).withColumn("_i", F.col("rank") - 1)
+        rows = rows.join(F.broadcast(owns), "part")
     else:
-        rows = spread(rows)
-    columns = [*df.columns, "part"]
-    rows = rows.withColumn("_i", ordinal.cast("bigint")).join(F.broadcast(owns), "part")
+        rows = spread(rows).withColumn("_i", ordinal.cast("bigint"))
+        if n_partitions <= PLANNED_PARTITIONS:
+            # What is known of a few partitions is a constant of the plan, an array by their numbers.
+            known = owns.orderBy("part").select(F.to_json(F.struct("_start", "_n", "_rounds")).alias("j")).collect()
+            kind = owns.select(F.array(F.struct("_start", "_n", "_rounds")).alias("a")).schema["a"].dataType
+            constant = F.from_json(F.lit(f"[{','.join(r['j'] for r in known)}]"), kind)
+            rows = rows.withColumns({c: F.get(constant, F.col("part"))[c] for c in ("_start", "_n", "_rounds")})
+        else:
+            rows = rows.join(F.broadcast(owns), "part")
     inside = permuted(F.col("_i"), F.col("_n"), F.col("_rounds")) if shuffle else F.col("_i")
     out = rows.select(*columns, (F.col("_start") + inside).alias("position"))
     return out if max_samples is None else out.where(F.col("position") < max_samples)
